@@ -193,11 +193,13 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
                   (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("wr"),
                   (F.sum(F.col("f1_score") * F.col("support")) / F.sum("support")).alias("wf"))
     acc = F.col("tp").cast("double") / F.col("n")
+    def row(name, p, r, f):
+        return F.struct(F.lit(name).alias("class"), p.alias("precision"), r.alias("recall"),
+                        f.alias("f1_score"), F.col("n").cast("bigint").alias("support"))
     summary = tot.select(F.inline(F.array(
-        F.struct(F.lit("accuracy").alias("class"), acc.alias("precision"), acc.alias("recall"),
-                 acc.alias("f1_score"), F.col("n").cast("bigint").alias("support")),
-        F.struct(F.lit("macro avg"), F.col("mp"), F.col("mr"), F.col("mf"), F.col("n").cast("bigint")),
-        F.struct(F.lit("weighted avg"), F.col("wp"), F.col("wr"), F.col("wf"), F.col("n").cast("bigint")))))
+        row("accuracy", acc, acc, acc),
+        row("macro avg", F.col("mp"), F.col("mr"), F.col("mf")),
+        row("weighted avg", F.col("wp"), F.col("wr"), F.col("wf")))))
     return classes.unionByName(summary)
 
 
