@@ -189,44 +189,59 @@ def train_tabular(df: DataFrame, target: str | None = None, key: str | None = No
 
 # --- sequence forecaster (M19, M20) --------------------------------------------------------------------
 
+def window_vector(features: list[str], stats: dict, window: str = "window") -> F.Column:
+    """Flattened, min-max scaled (train statistics) feature vector of a window of readings."""
+    flat = F.flatten(F.transform(window, lambda s: F.array(*[s[c].cast("double") for c in features])))
+    lo = F.array(*[F.lit(float(stats[c][0])) for c in features])
+    rng = F.array(*[F.lit(float(stats[c][1] - stats[c][0]) or 1.0) for c in features])
+    k = len(features)
+    return array_to_vector(F.transform(flat, lambda x, i: (x - F.element_at(lo, (i % k) + 1))
+                                       / F.element_at(rng, (i % k) + 1)))
+
+
+def forecast_predict(windows: DataFrame, res: "TrainResult", window: str = "window") -> DataFrame:
+    """Score windows with a forecaster: scaled vector -> model -> inverse-scaled ``prediction``."""
+    stats, target = res.extra["stats"], res.target
+    x = windows.withColumn("features", window_vector(res.numeric, stats, window))
+    out = res.model.transform(x)
+    return out.withColumn("prediction", M.minmax_inverse("prediction", {"prediction": stats[target]}))
+
+
 def forecast_sequence(windows: DataFrame, features: list[str], target: str = "yield", test_fraction: float = 0.2,
                       learner: str = "linear", group: str = "station_id") -> TrainResult:
-    """One-step-ahead target from the previous L readings (W1 output with ``_pos`` per group).
+    """One-step-ahead target from the previous L readings (W1 output with ``_pos`` per group).
 
     Min-max scaling (M5) is fitted on the train part only (D6) and the prediction is mapped
     back (inverse) before MSE / R^2. The split is time-ordered: the last ``test_fraction`` of
-    each group's windows is the test set.
+    each group's windows is the test set. ``learner="boosting"`` uses boosted trees with early
+    stopping on a held-out part of the train windows (M20).
     """
     spark = windows.sparkSession
     sizes = windows.groupBy(group).agg(F.max("_pos").alias("_last"), F.min("_pos").alias("_first"))
     w = windows.join(sizes, group)
     cut = F.col("_first") + (F.col("_last") - F.col("_first") + 1) * F.lit(1 - test_fraction)
     w = w.withColumn("split", F.when(F.col("_pos") >= cut, "test").otherwise("train"))
-    flat = F.flatten(F.transform("window", lambda s: F.array(*[s[c].cast("double") for c in features])))
-    w = w.withColumn("_x", flat)
-    # min-max over the train rows for every feature (position-independent) and the target
-    train_x = w.filter(F.col("split") == "train").select(F.explode("window").alias("s")).select("s.*")
-    stats = M.fit_minmax(train_x, features)
-    stats.update(M.fit_minmax(w.filter(F.col("split") == "train"), [target]))
-    lo = F.array(*[F.lit(float(stats[c][0])) for c in features])
-    rng = F.array(*[F.lit(float(stats[c][1] - stats[c][0]) or 1.0) for c in features])
-    k = len(features)
-    scaled = F.transform("_x", lambda x, i: (x - F.element_at(lo, (i % k) + 1)) / F.element_at(rng, (i % k) + 1))
-    data = M.apply_minmax(w.withColumn("features", array_to_vector(scaled)), {target: stats[target]}, suffix="_scaled")
-    data = P.ensure_parallelism(data.select(group, "event_id", "split", "features", target, f"{target}_scaled")).persist()
+    train_rows = w.filter(F.col("split") == "train")
+    stats = M.fit_minmax(train_rows.select(F.explode("window").alias("s")).select("s.*"), features)
+    stats.update(M.fit_minmax(train_rows, [target]))
+    data = M.apply_minmax(w.withColumn("features", window_vector(features, stats)), {target: stats[target]},
+                          suffix="_scaled")
+    data = P.ensure_parallelism(data.select(group, "event_id", "split", "features", target, f"{target}_scaled"))
+    data = data.persist()
     model = (P.linear(f"{target}_scaled") if learner == "linear" else
              P.boosted_tabular(f"{target}_scaled", "regression", validation_col="_val"))
     train = data.filter(F.col("split") == "train")
-    if learner != "linear":  # M20: early stopping on a held-out part of the train windows
+    if learner != "linear":
         train = M.train_test_split(train, "event_id", 0.2, seed=11, name="_v").withColumn("_val", F.col("_v") == "test")
-    fitted = model.fit(train)
-    pred = fitted.transform(data.filter(F.col("split") == "test"))
-    pred = pred.withColumn("prediction", M.minmax_inverse("prediction", {"prediction": stats[target]}))
+    fitted = PipelineModel([model.fit(train)])
+    res = TrainResult(fitted, None, features, [], target, {"stats": stats})
+    pred = forecast_predict(data.filter(F.col("split") == "test").drop("features").join(
+        w.select("event_id", "window"), "event_id"), res)
     m = S.regression_metrics(pred, target, "prediction").first()
-    metrics = spark.createDataFrame([("mse", float(m.mse)), ("r2", float(m.r2)), ("rmse", float(m.rmse))],
-                                    "metric string, value double")
+    res.metrics = spark.createDataFrame([("mse", float(m.mse)), ("r2", float(m.r2)), ("rmse", float(m.rmse))],
+                                        "metric string, value double")
     data.unpersist()
-    return TrainResult(PipelineModel([fitted]), metrics, features, [], target, {"stats": stats})
+    return res
 
 
 # --- labelled vectors (M21) ------------------------------------------------------------------------

@@ -1,3 +1,3 @@
 """Imports every plan module so that all queries are registered."""
 
-from verdant.plans import farm, files, metrics, models, profile, sensors  # noqa: F401
+from verdant.plans import farm, files, metrics, models, profile, sensors, streams  # noqa: F401
