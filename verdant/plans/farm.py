@@ -234,7 +234,7 @@ MERGE_ALL_SQL = with_views(
 @query("merge_all", MERGE_ALL_SQL)
 def q_merge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J4 + P10: the four-table chain, then null -> mean (means over the joined rows, 1e-6)."""
-    return fill_with_mean(merged_chain(spark, sf_dir), digits=DIGITS)
+    return fill_with_mean(merged_chain(spark, sf_dir), digits=DIGITS, materialize=True)
 
 
 @query("column_means", with_views(f"SELECT {_FILL_MEANS} FROM m3", *FARM_VIEWS, extra=MERGE_CTES))

@@ -9,7 +9,7 @@ from verdant.functions import generic as G
 from verdant.operators import windows as W
 from verdant.plans.registry import query
 from verdant.sources import files as FS
-from verdant.sources.adapters import base_table, documents_listing
+from verdant.sources.adapters import base_table, documents_listing, view, with_views
 
 # Size budget of the sampler in this fixture (characters stand in for bytes).
 SAMPLE_CAP = 1_000_000
@@ -76,3 +76,33 @@ def q_path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path, base name, stem, extension, parent, host and flattened name of each URL."""
     df = base_table(spark, sf_dir, "pages")
     return df.select("page_id", *[v.alias(k) for k, v in G.path_parts("url").items()])
+
+
+# --- table sources (S1, S3) ---------------------------------------------------------------------
+
+@query("read_table", "SELECT * FROM part")
+def q_read_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table read through the source layer (parquet here; CSV with header + inference likewise)."""
+    from verdant.sources.tables import read_table
+    return read_table(spark, f"{sf_dir.rstrip('/')}/part.parquet")
+
+
+SENSOR_TYPES = {"event_id": "bigint", "station_id": "bigint", "temperature": "double", "humidity": "double",
+                "rainfall": "double", "soil_moisture": "double", "solar_radiation": "double", "wind_speed": "double"}
+
+
+@query("read_dir_concat", with_views("SELECT * FROM sensor_readings", "sensor_readings"))
+def q_read_dir_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: one folder of CSV files whose headers differ (column order), appended by name,
+    timestamp parsed, sorted. The readings are written as two files (older / newer half)."""
+    from verdant.session import scratch_path
+    from verdant.sources.tables import read_dir_concat
+    r = view(spark, sf_dir, "sensor_readings")
+    folder = scratch_path(spark, "csv-history")
+    cut = r.agg(F.percentile_approx("event_id", 0.5)).first()[0]
+    fmt = {"header": True, "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+    r.filter(F.col("event_id") <= cut).coalesce(1).write.options(**fmt).csv(folder)
+    (r.filter(F.col("event_id") > cut).select(*reversed(r.columns))  # same fields, other header order
+      .coalesce(1).write.mode("append").options(**fmt).csv(folder))
+    df = read_dir_concat(spark, folder, ts="event_time", tie="event_id")
+    return df.select(*[F.col(c).cast(SENSOR_TYPES.get(c, "timestamp")).alias(c) for c in r.columns])

@@ -38,19 +38,19 @@ def _metrics(res: T.TrainResult) -> DataFrame:
     return res.metrics.select("model", "cv_rmse", "test_rmse", "test_mae", "test_r2", "selected")
 
 
-@query("train_carbon")
+@query("train_carbon", heavy=True)
 def q_train_carbon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forest vs boosting for the footprint, chosen on 5-fold CV RMSE; test RMSE/MAE/R^2."""
     return _metrics(trained(spark, sf_dir, "carbon"))
 
 
-@query("train_water")
+@query("train_water", heavy=True)
 def q_train_water(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M14 (water): dummies + scaling, forest vs boosting chosen on test RMSE."""
     return _metrics(trained(spark, sf_dir, "water"))
 
 
-@query("train_env")
+@query("train_env", heavy=True)
 def q_train_env(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M14 (environment): dummies + scaling, forest vs boosting chosen on test RMSE."""
     return _metrics(trained(spark, sf_dir, "environment"))
@@ -67,14 +67,14 @@ def q_feature_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.transform(df).select("farm_id", T.vector_column_to_array("features").alias("features"))
 
 
-@query("feature_importance")
+@query("feature_importance", heavy=True)
 def q_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importances of the selected carbon model, named numeric + ``col_value``."""
     res = trained(spark, sf_dir, "carbon")
     return T.feature_importance(spark, res.model, res.numeric)
 
 
-@query("predict_carbon")
+@query("predict_carbon", heavy=True)
 def q_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P6 -> P7 -> saved model on every farm (absent model columns get their defaults)."""
     res = trained(spark, sf_dir, "carbon")
@@ -91,14 +91,14 @@ def q_predict_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.predict(view(spark, sf_dir, "farm_carbon"), "carbon", missing, keep=["farm_id"])
 
 
-@query("evaluate_model")
+@query("evaluate_model", heavy=True)
 def q_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A8 + A9 of the stored water model over the whole water table."""
     res = trained(spark, sf_dir, "water")
     return T.evaluate(FARM.water_table(spark, sf_dir), res.target, res.model, res.numeric, res.categorical)
 
 
-@query("sustainability_report")
+@query("sustainability_report", heavy=True)
 def q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R1 (+ J6, A6): the merged farms scored by the three models; summary table returned."""
     scorers = {}
@@ -110,7 +110,7 @@ def q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.sustainability_report(scored)["summary"]
 
 
-@query("train_tabular")
+@query("train_tabular", heavy=True)
 def q_train_tabular(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M15 (+ M12): generic predictor on the regenerative-farm table, target = last column."""
     df = FARM.regen_table(spark, sf_dir)
@@ -118,7 +118,7 @@ def q_train_tabular(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.train_tabular(df.select(*cols), key="regen_id").metrics
 
 
-@query("forecast_sequence")
+@query("forecast_sequence", heavy=True)
 def q_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-step yield forecast from the previous 30 readings per station (time-ordered split)."""
     from verdant.functions.domain import SENSOR_FIELDS
@@ -126,7 +126,7 @@ def q_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.forecast_sequence(windows, SENSOR_FIELDS, "yield").metrics
 
 
-@query("classify_vectors")
+@query("classify_vectors", heavy=True)
 def q_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled vectors -> class; best candidate on validation kept (W5), test accuracy."""
     return T.classify_vectors(base_table(spark, sf_dir, "embeddings")).metrics

@@ -15,6 +15,9 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
+# Model-training and streaming-replay queries: run by the correctness check, left out of the
+# default benchmark (their time is MLlib iteration / micro-batch overhead, not data volume).
+HEAVY: set[str] = set()
 
 # Aggregated doubles are reported to this many decimals in both engines: sums in another
 # order differ in the last bits, which the value-hash compare would otherwise see.
@@ -23,13 +26,15 @@ DIGITS = 6
 TDIGITS = 9
 
 
-def query(key: str, sql: str | None = None):
+def query(key: str, sql: str | None = None, heavy: bool = False):
     def deco(fn: QueryFn) -> QueryFn:
         if key in QUERIES:
             raise ValueError(f"duplicate query key {key}")
         QUERIES[key] = fn
         if sql is not None:
             ORACLE[key] = sql
+        if heavy:
+            HEAVY.add(key)
         return fn
     return deco
 
