@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from verdant.operators.joins import join_small
-from verdant.session import checkpoint_dir
+from verdant.session import checkpoint_dir, partitions_for
 
 
 def _cols(x) -> list:
@@ -35,7 +35,7 @@ def dense_index(df: DataFrame, order, group=None, name: str = "row_idx",
     """
     order_cols, group_cols = _cols(order), _cols(group)
     group_names = [c for c in group_cols if isinstance(c, str)]
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or partitions_for(df)
     tagged = (df.repartitionByRange(n, *group_cols, *order_cols)
                 .sortWithinPartitions(*group_cols, *order_cols)
                 .withColumn("_pid", F.spark_partition_id())
@@ -65,7 +65,7 @@ def running_total(df: DataFrame, value: str, order, name: str = "running_total",
                   num_partitions: int | None = None) -> DataFrame:
     """Running sum of ``value`` over a global order, two-level (per range slice, then offsets)."""
     order_cols = _cols(order)
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or partitions_for(df)
     checkpoint_dir(df.sparkSession)
     sliced = (df.repartitionByRange(n, *order_cols)
                 .withColumn("_pid", F.spark_partition_id())).checkpoint(eager=True)

@@ -26,10 +26,10 @@ _TRAINED: dict = {}
 
 def trained(spark: SparkSession, sf_dir: str, kind: str) -> T.TrainResult:
     """Train once per (kind, source) in this session; the model is also saved."""
-    key = (kind, sf_dir.rstrip("/"))
+    key = (spark.sparkContext.applicationId, kind, sf_dir.rstrip("/"))
     if key not in _TRAINED:
         res = T.train_sustainability(TABLES[kind](spark, sf_dir), kind)
-        T.save_model(res, T.model_path(spark, kind, key[1]))
+        T.save_model(res, T.model_path(spark, kind, key[2]))
         _TRAINED[key] = res
     return _TRAINED[key]
 

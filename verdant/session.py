@@ -62,3 +62,36 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for a written intermediate table."""
     base = checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{os.urandom(6).hex()}")
+
+
+TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+MAX_PARTITIONS = 500_000
+_UNKNOWN_SIZE = 2 ** 62  # statistics-free leaves report the default size (Long.MaxValue)
+
+
+def input_bytes(df) -> int | None:
+    """Bytes of the relations ``df`` reads (sum over the plan's leaves with a known size).
+
+    Output-size estimates of joins without statistics are products of both sides and useless
+    for sizing; the scanned input is a stable proxy for the data volume."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    except Exception:  # noqa: BLE001
+        return None
+    known = [x for x in sizes if x < _UNKNOWN_SIZE]
+    return sum(known) if known else None
+
+
+def partitions_for(df, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
+    """Partition count for an explicit repartition of ``df``: scanned input bytes over
+    ``target_bytes``, never fewer than ``spark.sql.shuffle.partitions``.
+
+    Explicit ``repartitionByRange(n, ...)`` counts are not resized by AQE, so they must grow
+    with the data (about 800k partitions of 128 MB for 100 TB, capped at MAX_PARTITIONS).
+    """
+    floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = input_bytes(df)
+    if size is None:
+        return floor
+    return int(min(max(floor, -(-size // target_bytes)), max(floor, MAX_PARTITIONS)))
