@@ -64,7 +64,7 @@ def sample_by_size(listing: DataFrame, key: str, cap: int, seed: int = 42, lengt
         m = stats.misfit
         after = (F.col("_sk") > F.lit(m["_sk"])) | ((F.col("_sk") == F.lit(m["_sk"])) & (F.col(key) > F.lit(m[key])))
         cand = run.filter(after & (F.col(length) <= F.lit(remaining))).select(key, length, "_sk")
-        if remaining <= 0 or cand.limit(1).count() == 0:
+        if remaining <= 0:  # an empty candidate set ends the next round (no misfit)
             break
     out = taken[0]
     for t in taken[1:]:
