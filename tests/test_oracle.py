@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_ORACLE
-from oracle_compare import compare
+from oracle_compare import compare, type_mismatches
 
 import os
 
@@ -24,6 +24,7 @@ def test_query_matches_oracle(spark, duck_sf001, key):
         assert df.count() >= 0
         return
     assert compare(df, duck_sf001, ORACLE[key]) is None
+    assert type_mismatches(df, duck_sf001, ORACLE[key]) == []
 
 
 def test_entry_smoke(spark):

@@ -60,3 +60,15 @@ def compare(df, con, sql: str) -> str | None:
     if diff:
         return f"{len(diff)} of {len(a)} rows differ; first: {diff[0][0]} vs {diff[0][1]}"
     return None
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT",
+                 "smallint": "SMALLINT", "tinyint": "TINYINT", "date": "DATE", "array<double>": "DOUBLE[]",
+                 "array<float>": "FLOAT[]"}
+
+
+def type_mismatches(df, con, sql: str) -> list:
+    """Columns whose Spark type and DuckDB type differ (by the mapping above)."""
+    duck = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return [(c, t, duck.get(c)) for c, t in df.dtypes if SPARK_TO_DUCK.get(t, t) != duck.get(c)]

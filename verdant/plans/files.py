@@ -24,8 +24,8 @@ def q_dir_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FS.dir_size(documents_listing(spark, sf_dir))
 
 
-@query("running_size", f"SELECT doc_id, sum(n_chars) OVER (ORDER BY {_ORDER_SQL} ROWS BETWEEN UNBOUNDED PRECEDING"
-                       " AND CURRENT ROW) AS running_size FROM documents")
+@query("running_size", f"SELECT doc_id, CAST(sum(n_chars) OVER (ORDER BY {_ORDER_SQL} ROWS BETWEEN UNBOUNDED PRECEDING"
+                       " AND CURRENT ROW) AS BIGINT) AS running_size FROM documents")
 def q_running_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running total of sizes in the seeded shuffle order (two-level prefix sum)."""
     df = FS.with_shuffle_key(documents_listing(spark, sf_dir), "doc_id", SEED)

@@ -61,7 +61,7 @@ def q_confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REPORT_SQL = (
-    "SELECT class, " + ", ".join(f"{rnd(c)} AS {c}" for c in ["precision", "recall", "f1_score"]) + ", support FROM ("
+    "SELECT class, " + ", ".join(f"{rnd(c)} AS {c}" for c in ["precision", "recall", "f1_score"]) + ", CAST(support AS BIGINT) AS support FROM ("
     " SELECT label AS class, precision, recall, f1_score, support FROM per"
     " UNION ALL SELECT 'accuracy', sum(tp) * 1e0 / sum(support), sum(tp) * 1e0 / sum(support),"
     "  sum(tp) * 1e0 / sum(support), sum(support) FROM per"
@@ -207,7 +207,8 @@ def q_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # epoch log: each vector scored once per "epoch" = hash fold (M2) of vec_id, split by M1
-_EPOCH_SQL = ("SELECT CAST(('0x' || substr(md5(CAST(vec_id AS VARCHAR) || '|42'), 1, 8)) AS BIGINT) % 5 + 1 AS epoch,"
+_EPOCH_SQL = ("SELECT CAST(CAST(('0x' || substr(md5(CAST(vec_id AS VARCHAR) || '|42'), 1, 8)) AS BIGINT) % 5 + 1 AS INTEGER)"
+              " AS epoch,"
               " CASE WHEN substr(md5(CAST(vec_id AS VARCHAR) || '|7'), 1, 8) < '33333333' THEN 'test' ELSE 'train' END"
               f" AS split, {_CE} AS loss, CASE WHEN list_position(scores, list_max(scores)) - 1 = label THEN 1 ELSE 0 END"
               " AS correct FROM emb")

@@ -94,7 +94,7 @@ def q_parse_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("datetime_parts", sensor_sql(
-    "SELECT event_id, dayofyear(event_time) AS day_of_year, hour(event_time) AS hour_of_day,"
+    "SELECT event_id, CAST(dayofyear(event_time) AS INTEGER) AS day_of_year, CAST(hour(event_time) AS INTEGER) AS hour_of_day,"
     " strftime(event_time, '%Y-%m-%dT%H:%M:%S') AS iso_text, strftime(event_time, '%Y%m%d_%H%M%S') AS stamp"
     " FROM sensor_readings"))
 def q_datetime_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
