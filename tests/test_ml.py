@@ -64,3 +64,12 @@ def test_attach_predictions_keeps_rows_and_columns(spark):
     ref = water.select("water_id", F.col("farm_size_hectares").alias("ref_size"))
     same = out.join(ref, "water_id").filter(F.col("farm_size_hectares").eqNullSafe(F.col("ref_size"))).count()
     assert same == water.count()  # original (unscaled) values kept
+
+
+def test_tabular_classification_path(spark):
+    df = FARM.view(spark, SF, "farm_water").select("water_id", "farm_size_hectares", "annual_rainfall_mm",
+                                                   "temperature_celsius", "crop_type", "irrigation_method")
+    res = T.train_tabular(df, key="water_id", rounds=3, folds=2)
+    assert res.extra["task"] == "classification" and res.extra["n_classes"] == 5
+    metrics = {r.metric: r.value for r in res.metrics.collect()}
+    assert 0.0 <= metrics["accuracy"] <= 100.0 and "cv_mean" in metrics

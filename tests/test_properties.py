@@ -137,3 +137,14 @@ def test_stratified_folds_balanced(spark):
         by.setdefault(r.label, []).append(r["count"])
     for counts in by.values():
         assert max(counts) - min(counts) <= 1
+
+
+def test_hot_group_is_spread_over_partitions(spark):
+    # one station holds a third of the rows: its positions must come from several tasks
+    rows = [(i, 0 if i % 3 == 0 else 1 + i % 50) for i in range(3000)]
+    df = spark.createDataFrame(rows, "event_id long, station_id int")
+    out = W.dense_index(df, ["event_id"], ["station_id"], name="pos", num_partitions=8)
+    hot = out.filter(F.col("station_id") == 0).withColumn("pid", F.spark_partition_id())
+    assert hot.select("pid").distinct().count() >= 2
+    got = sorted((r.event_id, r.pos) for r in hot.collect())
+    assert [p for _, p in got] == list(range(1000))
