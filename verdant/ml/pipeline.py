@@ -222,8 +222,3 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
     """Spread a small training table over the cluster's cores (MLlib runs one task per partition)."""
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
-
-
-def predictions_vector_first(col: str = "probability") -> F.Column:
-    from pyspark.ml.functions import vector_to_array
-    return vector_to_array(F.col(col))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DataType, DoubleType, StringType
+from pyspark.sql.types import DoubleType, StringType
 
 from verdant.functions.domain import yield_estimate
 from verdant.functions.generic import lookup
-from verdant.operators.stats import exact_quantiles, numeric_columns, string_columns
+from verdant.operators.stats import exact_quantiles, numeric_columns
 
 
 class MissingColumnError(KeyError):

@@ -3,7 +3,7 @@ merges (J1-J4, P10, A5) over the farm views."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from verdant.functions import domain as D
 from verdant.operators import joins as J

@@ -9,7 +9,7 @@ from verdant.functions import generic as G
 from verdant.ml import features as M
 from verdant.operators import stats as S
 from verdant.operators import windows as W
-from verdant.plans.registry import DIGITS, TDIGITS, dlit, query, rnd, rounded
+from verdant.plans.registry import TDIGITS, dlit, query, rnd, rounded
 from verdant.sources.adapters import base_table, view, with_views
 
 N_CLASSES = 10

@@ -7,7 +7,6 @@ reference loads its saved model lazily on first predict.
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from verdant.ml import features as M

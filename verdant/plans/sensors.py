@@ -9,7 +9,7 @@ from verdant.functions import generic as G
 from verdant.operators import clean as C
 from verdant.operators import stats as S
 from verdant.operators import windows as W
-from verdant.plans.registry import DIGITS, TDIGITS, query, rnd, rounded
+from verdant.plans.registry import TDIGITS, query, rnd, rounded
 from verdant.sources import sensor_json as SJ
 from verdant.sources.adapters import base_table, view, with_views
 
