@@ -191,9 +191,8 @@ def fill_with_mean(df: DataFrame, cols: list[str] | None = None, digits: int | N
     if not cols:
         return df
     if materialize:
-        from verdant.session import checkpoint_dir
-        checkpoint_dir(df.sparkSession)
-        df = df.checkpoint(eager=True)
+        from verdant.session import pin
+        df = pin(df)
     means = df.agg(*[F.avg(c).alias(c) for c in cols]).first().asDict()
     out = {}
     for c in cols:

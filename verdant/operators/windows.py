@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from verdant.operators.joins import join_small
-from verdant.session import checkpoint_dir, partitions_for
+from verdant.session import partitions_for, pin
 
 
 def _cols(x) -> list:
@@ -40,8 +40,7 @@ def dense_index(df: DataFrame, order, group=None, name: str = "row_idx",
                 .sortWithinPartitions(*group_cols, *order_cols)
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_mid", F.monotonically_increasing_id()))
-    checkpoint_dir(df.sparkSession)
-    tagged = tagged.checkpoint(eager=True)
+    tagged = pin(tagged)
     seg = tagged.groupBy("_pid", *group_names).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     before = Window.partitionBy(*group_names).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     seg = seg.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
@@ -66,9 +65,7 @@ def running_total(df: DataFrame, value: str, order, name: str = "running_total",
     """Running sum of ``value`` over a global order, two-level (per range slice, then offsets)."""
     order_cols = _cols(order)
     n = num_partitions or partitions_for(df)
-    checkpoint_dir(df.sparkSession)
-    sliced = (df.repartitionByRange(n, *order_cols)
-                .withColumn("_pid", F.spark_partition_id())).checkpoint(eager=True)
+    sliced = pin(df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id()))
     local_w = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     local = sliced.withColumn("_local", F.sum(value).over(local_w))
     totals = sliced.groupBy("_pid").agg(F.sum(value).alias("_tot"))

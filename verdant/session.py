@@ -95,3 +95,17 @@ def partitions_for(df, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
     if size is None:
         return floor
     return int(min(max(floor, -(-size // target_bytes)), max(floor, MAX_PARTITIONS)))
+
+
+def pin(df):
+    """Materialise ``df`` once as a reliable checkpoint in the shared folder and cut its lineage.
+
+    The rows are cached while the eager checkpoint counts them, so writing the checkpoint
+    reads the cache instead of recomputing the plan; the cache is released afterwards and
+    later reads (and retries after a lost executor) come from the checkpoint files.
+    """
+    checkpoint_dir(df.sparkSession)
+    staged = df.persist()
+    pinned = staged.checkpoint(eager=True)
+    staged.unpersist()
+    return pinned
