@@ -173,17 +173,43 @@ def dummies_preprocessor(numeric: list[str], categorical: list[str], categories:
 RF_MAX_DEPTH = 12  # the reference grows trees without a depth limit; MLlib caps depth at 30
 
 
+def heap_mb(spark=None) -> int:
+    """Max heap of the driver JVM (in local mode also the executors'), in MB."""
+    from pyspark.sql import SparkSession
+    spark = spark or SparkSession.getActiveSession()
+    try:
+        return int(spark.sparkContext._jvm.java.lang.Runtime.getRuntime().maxMemory() // (1024 * 1024))
+    except Exception:  # noqa: BLE001
+        return 1024
+
+
+def fit_parallelism(spark, n_tasks: int) -> int:
+    """How many model fits to run at once: ``spark.verdant.ml.parallelism`` if set, else one per
+    2 GB of driver heap (fitted forests of 100 deep trees live on the driver), between 1 and 4."""
+    conf = spark.conf.get("spark.verdant.ml.parallelism", None)
+    if conf:
+        return max(1, min(n_tasks, int(conf)))
+    return max(1, min(n_tasks, 4, heap_mb(spark) // 2048))
+
+
+def node_memory_mb(spark) -> int:
+    """MLlib's per-task histogram budget (``maxMemoryInMB``), kept well inside the heap."""
+    return int(max(32, min(128, heap_mb(spark) // 16)))
+
+
 def random_forest(label: str, min_leaf: int = 1, num_trees: int = 100, max_depth: int = RF_MAX_DEPTH,
                   seed: int = 42) -> RandomForestRegressor:
     """Random forest regressor, all features considered at every split."""
     return RandomForestRegressor(labelCol=label, numTrees=num_trees, minInstancesPerNode=min_leaf,
-                                 featureSubsetStrategy="all", maxDepth=max_depth, seed=seed, maxMemoryInMB=512)
+                                 featureSubsetStrategy="all", maxDepth=max_depth, seed=seed,
+                                 maxMemoryInMB=node_memory_mb(None))
 
 
 def gradient_boosting(label: str, rounds: int = 100, rate: float = 0.1, depth: int = 3,
                       seed: int = 42) -> GBTRegressor:
     """Squared-loss boosting of depth-3 trees."""
-    return GBTRegressor(labelCol=label, maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed)
+    return GBTRegressor(labelCol=label, maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed,
+                        maxMemoryInMB=node_memory_mb(None))
 
 
 def boosted_tabular(label: str, task: str, n_classes: int = 2, rounds: int = 100, rate: float = 0.1,
@@ -194,7 +220,8 @@ def boosted_tabular(label: str, task: str, n_classes: int = 2, rounds: int = 100
     ``validation_col`` enables early stopping on the flagged rows (M20).
     """
     common = dict(maxIter=rounds, stepSize=rate, maxDepth=depth, subsamplingRate=sample,
-                  featureSubsetStrategy=str(col_sample), seed=seed, minInstancesPerNode=1)
+                  featureSubsetStrategy=str(col_sample), seed=seed, minInstancesPerNode=1,
+                  maxMemoryInMB=node_memory_mb(None))
     if validation_col:
         common["validationIndicatorCol"] = validation_col
     if task == "regression":

@@ -51,6 +51,7 @@ def cross_validate(estimator, train: DataFrame, label: str, key: str, folds: int
         model = estimator.fit(data.filter(F.col("_fold") != k))
         return rmse_of(model.transform(data.filter(F.col("_fold") == k)), label)
 
+    parallelism = min(parallelism, P.fit_parallelism(train.sparkSession, folds))
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         return list(pool.map(one, range(folds)))
 
@@ -86,9 +87,9 @@ def train_select(df: DataFrame, target: str, key: str, numeric: list[str], categ
         return rmse_of(m.transform(folded.filter(F.col("_fold") == k)), target)
 
     cv_tasks = [(n, k) for n in ests for k in range(CV_FOLDS)] if select_on == "cv" else []
-    with ThreadPoolExecutor(max_workers=len(cv_tasks) + len(ests)) as pool:
-        final = {n: pool.submit(ests[n].fit, train) for n in ests}
+    with ThreadPoolExecutor(max_workers=P.fit_parallelism(spark, len(cv_tasks) + len(ests))) as pool:
         cv_scores = dict(zip(cv_tasks, pool.map(cv_fit, cv_tasks)))
+        final = {n: pool.submit(ests[n].fit, train) for n in ests}
         fitted = {n: f.result() for n, f in final.items()}
     rows = []
     for pos, name in enumerate(ests):
@@ -140,11 +141,17 @@ def train_sustainability(df: DataFrame, kind: str, drop_leaky: bool = False, num
 
 def train_tabular(df: DataFrame, target: str | None = None, key: str | None = None, rounds: int = 100,
                   folds: int = CV_FOLDS) -> TrainResult:
-    """P3 -> P9/M4/M6 (M9) -> M12 -> CV -> metrics (A8 or A10/A12)."""
+    """P3 -> P9/M4/M6 (M9) -> M12 -> CV -> metrics (A8 or A10/A12).
+
+    Every column but the target is a feature, as in the reference. ``key`` only seeds the
+    split and folds; without one, a hash of the whole row does (reproducible, layout-free).
+    """
     spark = df.sparkSession
     target, task = C.infer_task(df, target)
-    key = key or df.columns[0]
-    feats = [c for c in df.columns if c not in (target, key)]
+    feats = [c for c in df.columns if c != target]
+    if key is None:
+        key = "_row_key"
+        df = df.withColumn(key, F.md5(F.to_json(F.struct(*[F.col(c) for c in df.columns]))))
     numeric = [c for c in S.numeric_columns(df) if c in feats]
     categorical = [c for c in S.string_columns(df) if c in feats]
     data = df.filter(F.col(target).isNotNull())
@@ -159,7 +166,7 @@ def train_tabular(df: DataFrame, target: str | None = None, key: str | None = No
     train, test = data.filter(F.col("split") == "train"), data.filter(F.col("split") == "test")
     est = P.pipeline(P.preprocessor(numeric, categorical), P.boosted_tabular(label, task, n_classes, rounds))
     pool = ThreadPoolExecutor(max_workers=1)
-    final = pool.submit(est.fit, train)
+    final = pool.submit(est.fit, train) if P.fit_parallelism(spark, 2) > 1 else None
     if task == "regression":
         cv = cross_validate(est, train, label, key, folds)
     else:
@@ -169,9 +176,9 @@ def train_tabular(df: DataFrame, target: str | None = None, key: str | None = No
             m = est.fit(strat.filter(F.col("_fold") != k))
             p = m.transform(strat.filter(F.col("_fold") == k))
             return p.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
-        with ThreadPoolExecutor(max_workers=folds) as pool:
+        with ThreadPoolExecutor(max_workers=P.fit_parallelism(spark, folds)) as pool:
             cv = list(pool.map(one, range(folds)))
-    model = final.result()
+    model = final.result() if final is not None else est.fit(train)
     pool.shutdown()
     pred = model.transform(test)
     if task == "regression":

@@ -1,3 +1,8 @@
-"""Imports every plan module so that all queries are registered."""
+"""Imports every plan module so that all queries are registered.
 
-from verdant.plans import farm, files, metrics, models, profile, sensors, streams  # noqa: F401
+Model-training and stream-replay queries are registered last: they run longest and need
+the most memory, so everything else has run by the time they start.
+"""
+
+from verdant.plans import farm, files, metrics, profile, sensors  # noqa: F401
+from verdant.plans import models, streams  # noqa: F401
