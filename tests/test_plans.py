@@ -56,3 +56,14 @@ def test_dense_index_broadcasts_only_the_offsets(spark):
     df = W.dense_index(readings(spark, SF), ["event_time", "event_id"], ["station_id"], name="pos")
     p = plan(df)
     assert "BroadcastExchange" in p and "SinglePartition" not in p.split("BroadcastExchange")[0]
+
+
+def test_partition_sizing_follows_input_not_join_estimates(spark):
+    from verdant.session import input_bytes, partitions_for
+    merged = FARM.merged_chain(spark, SF)
+    floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert partitions_for(merged) == floor  # small input: the session setting
+    big = input_bytes(FARM.carbon_table(spark, "/root/testdata/sf0.1"))
+    small = input_bytes(FARM.carbon_table(spark, SF))
+    assert big > 10 * small  # grows with the scanned data
+    assert partitions_for(merged, target_bytes=1024) > floor

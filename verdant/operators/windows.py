@@ -127,10 +127,12 @@ def best_so_far(df: DataFrame, metric: str, order: str, group=None, higher_is_be
 
 
 def plateau(df: DataFrame, loss: str, order: str, group=None, patience: int = 10,
-            lr_patience: int = 5, min_delta: float = 1e-4) -> DataFrame:
+            lr_patience: int = 5, min_delta: float = 1e-4, initial_lr: float = 1e-3,
+            factor: float = 0.2, min_lr: float = 1e-4) -> DataFrame:
     """Epochs since the last gain (any drop counts, as in Keras early stopping),
-    ``stop`` once that reaches ``patience``, and the rate-cut counter (gain > min_delta,
-    reset after each cut: the k-th cut falls at k*lr_patience stagnant epochs)."""
+    ``stop`` once that reaches ``patience``, the rate-cut counter (gain > min_delta, reset
+    after each cut: the k-th cut falls at k*lr_patience stagnant epochs) and the resulting
+    ``learning_rate`` = max(initial * factor^cuts, min_lr)."""
     group_cols = _cols(group)
     w_prev = Window.partitionBy(*group_cols).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     w_run = Window.partitionBy(*group_cols).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -142,5 +144,7 @@ def plateau(df: DataFrame, loss: str, order: str, group=None, patience: int = 10
     out = (out.withColumn("epochs_since_gain", (F.col(order) - last_gain).cast("int"))
               .withColumn("_since_lr", (F.col(order) - last_lr_gain).cast("int"))
               .withColumn("stop", F.col("epochs_since_gain") >= F.lit(patience))
-              .withColumn("lr_cuts", F.floor(F.col("_since_lr") / F.lit(lr_patience)).cast("int")))
+              .withColumn("lr_cuts", F.floor(F.col("_since_lr") / F.lit(lr_patience)).cast("int"))
+              .withColumn("learning_rate", F.greatest(F.lit(initial_lr) * F.pow(F.lit(factor), F.col("lr_cuts")),
+                                                      F.lit(min_lr))))
     return out.drop("_gain", "_lr_gain", "_since_lr")

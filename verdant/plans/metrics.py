@@ -247,7 +247,9 @@ def q_best_so_far(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("plateau", with_views(
     "SELECT epoch, split, CAST(epoch - max(CASE WHEN gain THEN epoch END) OVER r AS INTEGER) AS epochs_since_gain,"
     " epoch - max(CASE WHEN gain THEN epoch END) OVER r >= 10 AS stop,"
-    " CAST(floor((epoch - max(CASE WHEN lr_gain THEN epoch END) OVER r) / 5) AS INTEGER) AS lr_cuts"
+    " CAST(floor((epoch - max(CASE WHEN lr_gain THEN epoch END) OVER r) / 5) AS INTEGER) AS lr_cuts,"
+    " round(greatest(1e-3 * pow(2e-1, floor((epoch - max(CASE WHEN lr_gain THEN epoch END) OVER r) / 5)), 1e-4), 9)"
+    " AS learning_rate"
     " FROM (SELECT *, (best IS NULL OR loss < best) AS gain, (best IS NULL OR loss < best - 1e-4) AS lr_gain"
     " FROM (SELECT *, min(loss) OVER (PARTITION BY split ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     " AS best FROM epochs)) WINDOW r AS (PARTITION BY split ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
@@ -255,5 +257,6 @@ def q_best_so_far(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_plateau(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Epochs since the last loss gain, stop flag (patience 10) and learning-rate cuts (patience 5)."""
     m = S.epoch_metrics(epoch_log(spark, sf_dir))
-    return W.plateau(m, "loss", "epoch", "split", patience=10, lr_patience=5).select(
-        "epoch", "split", "epochs_since_gain", "stop", "lr_cuts")
+    out = W.plateau(m, "loss", "epoch", "split", patience=10, lr_patience=5).select(
+        "epoch", "split", "epochs_since_gain", "stop", "lr_cuts", "learning_rate")
+    return rounded(out, ["learning_rate"], TDIGITS)
