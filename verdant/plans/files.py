@@ -17,7 +17,7 @@ SEED = 42
 _ORDER_SQL = "md5(CAST(doc_id AS VARCHAR) || '|42'), doc_id"
 
 
-@query("dir_size", "SELECT sum(n_chars) AS total_bytes, sum(n_chars) / 1073741824e0 AS total_gib,"
+@query("dir_size", "SELECT CAST(sum(n_chars) AS BIGINT) AS total_bytes, sum(n_chars) / 1073741824e0 AS total_gib,"
                    " count(*) AS n_files FROM documents")
 def q_dir_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Total size of a listing."""
