@@ -32,3 +32,10 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert len(rows) == 5
     assert set(df.columns) == {"farming_method", "mean", "std", "n", "ci_low", "ci_high"}
+
+
+def test_contract_keys():
+    q, o = E.queries(), E.oracle_sql()
+    assert set(o) <= set(q)
+    assert all(callable(f) for f in q.values())
+    assert all(isinstance(s, str) and s.strip() for s in o.values())

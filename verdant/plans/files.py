@@ -106,3 +106,60 @@ def q_read_dir_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
       .coalesce(1).write.mode("append").options(**fmt).csv(folder))
     df = read_dir_concat(spark, folder, ts="event_time", tie="event_id")
     return df.select(*[F.col(c).cast(SENSOR_TYPES.get(c, "timestamp")).alias(c) for c in r.columns])
+
+
+@query("read_dir", with_views(
+    "SELECT 'farm_carbon' AS table_name, count(*) AS n_rows, 8 AS n_columns FROM farm_carbon"
+    " UNION ALL SELECT 'farm_water', count(*), 8 FROM farm_water", "farm_carbon", "farm_water"))
+def q_read_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every CSV of a folder as a table named by its stem (two views written as CSV files)."""
+    import os
+
+    from verdant.session import scratch_path
+    from verdant.sources.tables import list_files, read_dir
+    folder, staging = scratch_path(spark, "csv-dir"), scratch_path(spark, "csv-staging")
+    for name in ("farm_carbon", "farm_water"):
+        view(spark, sf_dir, name).coalesce(1).write.option("header", True).csv(os.path.join(staging, name))
+        # one file per table, named by the table: the folder layout the reference reads
+        part = list_files(spark, os.path.join(staging, name))[0]
+        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        src = fs_path(part)
+        fs = src.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(fs_path(folder))
+        spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(
+            fs, src, fs, fs_path(os.path.join(folder, f"{name}.csv")), False, spark.sparkContext._jsc.hadoopConfiguration())
+    tables = read_dir(spark, folder)
+    rows = [(n, t.count(), len(t.columns)) for n, t in sorted(tables.items())]
+    return spark.createDataFrame(rows, "table_name string, n_rows bigint, n_columns int")
+
+
+@query("read_or_default", with_views("SELECT * FROM farm_water", "farm_water"))
+def q_read_or_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An absent path falls back to the default table (here the water view)."""
+    from verdant.sources.tables import read_or_default
+    return read_or_default(spark, f"{sf_dir.rstrip('/')}/no_such_table.csv", lambda: view(spark, sf_dir, "farm_water"))
+
+
+@query("write_csv", with_views("SELECT * FROM farm_water", "farm_water"))
+def q_write_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8 + S1: a table written as CSV (header, no index) and read back with the same types."""
+    from verdant.session import scratch_path
+    from verdant.sources.tables import read_table, write_csv
+    df = view(spark, sf_dir, "farm_water")
+    path = write_csv(df, scratch_path(spark, "csv-out"))
+    return read_table(spark, path, schema=df.schema)
+
+
+@query("write_snapshot", with_views(
+    "SELECT *, '20250101_000000' AS snapshot_ts FROM farm_env UNION ALL"
+    " SELECT *, '20250102_000000' AS snapshot_ts FROM farm_env", "farm_env"))
+def q_write_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append-only timestamped copies; a retried snapshot overwrites only itself."""
+    from verdant.session import scratch_path
+    from verdant.sources.tables import write_snapshot
+    df = view(spark, sf_dir, "farm_env")
+    base = scratch_path(spark, "snapshots")
+    for stamp in ("20250101_000000", "20250102_000000", "20250102_000000"):
+        write_snapshot(df, base, stamp)
+    out = spark.read.parquet(base)
+    return out.select(*df.columns, F.col("snapshot_ts").cast("string").alias("snapshot_ts"))

@@ -138,3 +138,16 @@ def q_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, exact Median, Min, Max per prediction column (one row each)."""
     return rounded(S.summary_report(view(spark, sf_dir, "scored"), {"Actual": "y_true", "Predicted": "y_pred"}))
+
+
+@query("early_stop", heavy=True)
+def q_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosting (reference size) stopped on a held-out fifth of the train rows without gain."""
+    from pyspark.ml import Pipeline
+    df = M.train_test_split(FARM.regen_table(spark, sf_dir), "regen_id", 0.2, name="_v")
+    df = df.withColumn("is_val", F.col("_v") == "test")
+    target = "economic_resilience_score"
+    num = [c for c in C.features_by_exclusion(df, ["farm_type"], target) if c != "regen_id"]
+    model = Pipeline(stages=P.preprocessor(num, ["farm_type"]) + [
+        P.boosted_tabular(target, "regression", validation_col="is_val")]).fit(df)
+    return spark.createDataFrame([(100, int(model.stages[-1].getNumTrees))], "max_rounds int, rounds_used int")
