@@ -85,7 +85,9 @@ def sliding_windows(df: DataFrame, features: list[str], order, group, length: in
     Only full windows are kept. Hot groups are cut into chunks of ``chunk_rows`` positions;
     the last rows of each chunk are copied into the next one as a halo so every window
     stays exact while no task holds more than ``chunk_rows + length`` rows of a group.
+    The output keeps ``_pos``, the row's 0-based position within its group.
     """
+    chunk_rows = max(chunk_rows, length + 1)  # a halo must come from the previous chunk only
     group_cols = _cols(group)
     pos = dense_index(df, order, group_cols, name="_pos")
     halo = length if not include_current else length - 1
