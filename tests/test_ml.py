@@ -73,3 +73,7 @@ def test_tabular_classification_path(spark):
     assert res.extra["task"] == "classification" and res.extra["n_classes"] == 5
     metrics = {r.metric: r.value for r in res.metrics.collect()}
     assert 0.0 <= metrics["accuracy"] <= 100.0 and "cv_mean" in metrics
+    assert 0.0 <= metrics["macro_f1"] <= 1.0
+    cm = res.extra["confusion_matrix"].collect()
+    assert len(cm) == 25 and sum(r.n for r in cm) > 0  # 5 x 5 classes, zeros included
+    assert {r["class"] for r in res.extra["classification_report"].collect()} >= {"accuracy", "macro avg"}

@@ -164,6 +164,7 @@ def train_tabular(df: DataFrame, target: str | None = None, key: str | None = No
         label = "_label"
     data = P.ensure_parallelism(M.train_test_split(data, key, 0.2)).persist()
     train, test = data.filter(F.col("split") == "train"), data.filter(F.col("split") == "test")
+    extra_tables: dict = {}
     est = P.pipeline(P.preprocessor(numeric, categorical),
                      P.tune_for(P.boosted_tabular(label, task, n_classes, rounds), train))
     pool = ThreadPoolExecutor(max_workers=1)
@@ -186,13 +187,25 @@ def train_tabular(df: DataFrame, target: str | None = None, key: str | None = No
         m = S.regression_metrics(pred, label, "prediction").first()
         rows = [("mse", m.mse), ("rmse", m.rmse), ("mae", m.mae), ("r2", m.r2)]
     else:
-        acc = S.accuracy(pred.withColumn("prediction", F.col("prediction").cast("int")), label, "prediction").first()
-        rows = [("accuracy", acc.accuracy)]
+        # A10-A12 on the test rows, with class names restored from the encoded labels
+        names = F.array(*[F.lit(c) for c in classes])
+        named = pred.select(F.element_at(names, F.col(label).cast("int") + 1).alias("label"),
+                            F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"))
+        acc = S.accuracy(named).first()
+        report = S.classification_report(named)
+        extra_tables["confusion_matrix"] = S.confusion_matrix(named)
+        extra_tables["classification_report"] = report
+        avg = {r["class"]: r.f1_score for r in report.filter(F.col("class").endswith("avg")).collect()}
+        rows = [("accuracy", acc.accuracy), ("macro_f1", avg.get("macro avg")), ("weighted_f1", avg.get("weighted avg"))]
     cv_sd = (sum((x - sum(cv) / len(cv)) ** 2 for x in cv) / len(cv)) ** 0.5
     rows += [("cv_mean", sum(cv) / len(cv)), ("cv_std", cv_sd)]
-    metrics = spark.createDataFrame([(k, float(v)) for k, v in rows], "metric string, value double")
+    metrics = spark.createDataFrame([(k, None if v is None else float(v)) for k, v in rows],
+                                    "metric string, value double")
+    if extra_tables:  # materialise the small report tables before the training data is released
+        extra_tables = {k: spark.createDataFrame(v.collect(), v.schema) for k, v in extra_tables.items()}
     data.unpersist()
-    return TrainResult(model, metrics, numeric, categorical, target, {"task": task, "n_classes": n_classes})
+    return TrainResult(model, metrics, numeric, categorical, target,
+                       {"task": task, "n_classes": n_classes, **extra_tables})
 
 
 # --- sequence forecaster (M19, M20) --------------------------------------------------------------------
