@@ -84,3 +84,21 @@ def test_retrain_rule():
     assert ST.retrain_due(131, 10, False)
     assert not ST.retrain_due(1000, 500, True)
     assert ST.retrain_due(1000, 501, True)
+
+
+def test_pipeline_resumes_from_latest_model_version(spark):
+    from verdant.functions.domain import SENSOR_FIELDS
+    from verdant.ml import train as T
+    from verdant.operators.windows import sliding_windows
+    base = _dir("resume")
+    hist = readings(spark, "/root/testdata/sf0.01").withColumn("yield", F.col("temperature"))
+    w = sliding_windows(hist, ["event_id", *SENSOR_FIELDS], ["event_time", "event_id"], "station_id", 5)
+    res = T.forecast_sequence(w, SENSOR_FIELDS, "yield")
+    T.save_forecaster(res, os.path.join(base, "models", "v=3"))
+    T.save_forecaster(res, os.path.join(base, "models", "v=12"))
+    pipe = ST.SensorPipeline(spark, base, load=lambda p: (p, T.load_forecaster(spark, p)))
+    path, loaded = pipe.model
+    assert path.endswith("v=12") and loaded.extra["stats"] == {k: tuple(v) for k, v in res.extra["stats"].items()}
+    a = T.forecast_predict(w.orderBy("event_id").limit(20), res).select("event_id", "prediction").orderBy("event_id").collect()
+    b = T.forecast_predict(w.orderBy("event_id").limit(20), loaded).select("event_id", "prediction").orderBy("event_id").collect()
+    assert [r.prediction for r in a] == [r.prediction for r in b]

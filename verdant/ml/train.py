@@ -220,6 +220,23 @@ def window_vector(features: list[str], stats: dict, window: str = "window") -> F
                                        / F.element_at(rng, (i % k) + 1)))
 
 
+def save_forecaster(res: "TrainResult", path: str) -> None:
+    """The fitted model plus the min-max statistics it needs to score (JSON next to it)."""
+    import json
+    res.model.write().overwrite().save(os.path.join(path, "model"))
+    meta = json.dumps({"features": res.numeric, "target": res.target, "stats": res.extra["stats"]})
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(os.path.join(path, "meta"))
+
+
+def load_forecaster(spark: SparkSession, path: str) -> "TrainResult":
+    import json
+    meta = json.loads(spark.read.text(os.path.join(path, "meta")).first().value)
+    stats = {k: tuple(v) for k, v in meta["stats"].items()}
+    return TrainResult(PipelineModel.load(os.path.join(path, "model")), None, meta["features"], [], meta["target"],
+                       {"stats": stats})
+
+
 def forecast_predict(windows: DataFrame, res: "TrainResult", window: str = "window") -> DataFrame:
     """Score windows with a forecaster: scaled vector -> model -> inverse-scaled ``prediction``."""
     stats, target = res.extra["stats"], res.target
