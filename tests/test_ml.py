@@ -4,7 +4,7 @@ import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
-from verdant.ml import pipeline as P
+from verdant.ml import stages as P
 from verdant.ml import train as T
 from verdant.plans import farm as FARM
 

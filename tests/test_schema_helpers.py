@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from verdant.ml import pipeline as P
+from verdant.ml import stages as P
 from verdant.operators import clean as C
 from verdant.operators import joins as J
 from verdant.operators import stats as S

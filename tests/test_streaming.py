@@ -20,15 +20,15 @@ def test_ingest_equals_batch_and_restart_adds_nothing(spark):
     src = readings(spark, SF)
     feed = ST.write_message_files(src, os.path.join(base, "feed"), 4)
     good, _ = ST.sensor_stream(ST.file_source(spark, feed, max_files=1))
-    pipe = ST.SensorPipeline(spark, base)
+    pipe = ST.SensorIngest(spark, base)
     ck = os.path.join(base, "ck")
-    ST.run_pipeline(good, pipe, ck)
+    ST.run_ingest(good, pipe, ck)
     hist = ST.history_view(spark, pipe.history)
     assert hist.count() == src.count()
     assert hist.exceptAll(src).count() == 0 and src.exceptAll(hist).count() == 0
     # a restart from the checkpoint with no new files processes nothing new
     good2, _ = ST.sensor_stream(ST.file_source(spark, feed, max_files=1))
-    ST.run_pipeline(good2, ST.SensorPipeline(spark, base), ck)
+    ST.run_ingest(good2, ST.SensorIngest(spark, base), ck)
     assert ST.history_view(spark, pipe.history).count() == src.count()
 
 
@@ -86,7 +86,7 @@ def test_retrain_rule():
     assert ST.retrain_due(1000, 501, True)
 
 
-def test_pipeline_resumes_from_latest_model_version(spark):
+def test_ingest_resumes_from_latest_model_version(spark):
     from verdant.functions.domain import SENSOR_FIELDS
     from verdant.ml import train as T
     from verdant.operators.windows import sliding_windows
@@ -96,7 +96,7 @@ def test_pipeline_resumes_from_latest_model_version(spark):
     res = T.forecast_sequence(w, SENSOR_FIELDS, "yield")
     T.save_forecaster(res, os.path.join(base, "models", "v=3"))
     T.save_forecaster(res, os.path.join(base, "models", "v=12"))
-    pipe = ST.SensorPipeline(spark, base, load=lambda p: (p, T.load_forecaster(spark, p)))
+    pipe = ST.SensorIngest(spark, base, load=lambda p: (p, T.load_forecaster(spark, p)))
     path, loaded = pipe.model
     assert path.endswith("v=12") and loaded.extra["stats"] == {k: tuple(v) for k, v in res.extra["stats"].items()}
     a = T.forecast_predict(w.orderBy("event_id").limit(20), res).select("event_id", "prediction").orderBy("event_id").collect()

@@ -257,7 +257,7 @@ def linear(label: str) -> LinearRegression:
     return LinearRegression(labelCol=label, solver="normal")
 
 
-def pipeline(stages: list, model) -> Pipeline:
+def assemble(stages: list, model) -> Pipeline:
     return Pipeline(stages=list(stages) + [model])
 
 

@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from verdant.ml import features as M
-from verdant.ml import pipeline as P
+from verdant.ml import stages as P
 from verdant.operators import clean as C
 from verdant.operators import stats as S
 from verdant.session import checkpoint_dir
@@ -78,7 +78,7 @@ def train_select(df: DataFrame, target: str, key: str, numeric: list[str], categ
     else:
         stages = P.preprocessor(numeric, categorical)
     # every fit is independent: all (candidate, fold) CV fits and the final fits run concurrently
-    ests = {name: P.pipeline(stages, P.tune_for(model, train)) for name, model in candidates.items()}
+    ests = {name: P.assemble(stages, P.tune_for(model, train)) for name, model in candidates.items()}
     folded = M.kfold(train, key, CV_FOLDS, name="_fold") if select_on == "cv" else None
 
     def cv_fit(task):
@@ -165,7 +165,7 @@ def train_tabular(df: DataFrame, target: str | None = None, key: str | None = No
     data = P.ensure_parallelism(M.train_test_split(data, key, 0.2)).persist()
     train, test = data.filter(F.col("split") == "train"), data.filter(F.col("split") == "test")
     extra_tables: dict = {}
-    est = P.pipeline(P.preprocessor(numeric, categorical),
+    est = P.assemble(P.preprocessor(numeric, categorical),
                      P.tune_for(P.boosted_tabular(label, task, n_classes, rounds), train))
     pool = ThreadPoolExecutor(max_workers=1)
     final = pool.submit(est.fit, train) if P.fit_parallelism(spark, 2) > 1 else None

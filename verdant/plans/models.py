@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from verdant.ml import features as M
-from verdant.ml import pipeline as P
+from verdant.ml import stages as P
 from verdant.ml import train as T
 from verdant.operators import clean as C
 from verdant.operators import stats as S
@@ -55,8 +55,8 @@ def q_train_env(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(trained(spark, sf_dir, "environment"))
 
 
-@query("feature_pipeline")
-def q_feature_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("preprocessor")
+def q_preprocessor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M9: impute + scale + one-hot + assemble fitted on the train split, applied to every farm."""
     df = M.train_test_split(FARM.carbon_table(spark, sf_dir), "farm_id")
     cats = ["crop_type", "farming_method"]
