@@ -77,3 +77,10 @@ def test_tabular_classification_path(spark):
     cm = res.extra["confusion_matrix"].collect()
     assert len(cm) == 25 and sum(r.n for r in cm) > 0  # 5 x 5 classes, zeros included
     assert {r["class"] for r in res.extra["classification_report"].collect()} >= {"accuracy", "macro avg"}
+
+
+def test_drop_leaky_removes_target_determining_features(spark):
+    df = FARM.carbon_table(spark, SF)
+    res = T.train_sustainability(df, "carbon", drop_leaky=True, num_trees=3, rounds=3)
+    assert not set(res.numeric) & set(T.LEAKY["carbon"])
+    assert "farm_size_hectares" in res.numeric

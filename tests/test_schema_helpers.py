@@ -45,3 +45,16 @@ def test_boosting_stops_early_on_validation(spark):
     data = VectorAssembler(inputCols=["x"], outputCol="features").transform(df)
     model = P.boosted_tabular("y", "regression", rounds=50, validation_col="is_val").fit(data)
     assert model.getNumTrees < 50
+
+
+def test_missing_defaults_without_discriminator(spark):
+    df = spark.createDataFrame([(1, 100.0)], "env_id int, fertilizer_kg_per_hectare double")
+    r = C.with_missing_defaults(df, "environment").first()
+    assert (r.soil_health_impact_score, r.water_quality_impact_score, r.biodiversity_impact_score,
+            r.air_quality_impact_score) == (6.0, 5.5, 5.5, 6.0)
+    assert r.fertilizer_use_kg_per_hectare == 100.0  # copied from the carbon-side column
+    c = C.with_missing_defaults(spark.createDataFrame([(1,)], "farm_id int"), "carbon").first()
+    assert c.carbon_sequestration_potential_kg_co2e == 1000.0 and c.net_carbon_impact_kg_co2e == 2000.0
+    w = C.with_missing_defaults(spark.createDataFrame([(1, "Rainfed")], "water_id int, irrigation_method string"),
+                                "water").first()
+    assert w.water_efficiency_cubic_meters_per_ton == 30.0 and w.water_recycling_potential_percent == 30.0
