@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from verdant.llm import exact_dedup as exact
-from verdant.llm import line_dedup, mixing, sharding
-from verdant.llm.common import read_table
+from verdant.llm import decontam, line_dedup, mixing, secrets, sharding, url_filter
+from verdant.llm.common import SIMILARITY_PERCENT, UPPER, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -48,6 +48,11 @@ def op1_line_dedup(spark, sf_dir):
                       F.sha2(text, 256).alias("kept_sha256"))
 
 
+@query()
+def op2_secret_scan(spark, sf_dir):
+    return secrets.scan(read_table(spark, sf_dir, "documents"))
+
+
 @query("""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -92,6 +97,67 @@ def op4_sharding(spark, sf_dir):
     return sharding.assign_shards(docs, spark)
 
 
+@query(f"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws
+  FROM documents),
+i AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws
+  FROM benchmark),
+ds AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k:k + 4], ' ')) END) AS s FROM d),
+sh AS (
+  SELECT DISTINCT item_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k:k + 4], ' ')) END) AS s FROM i),
+n AS (SELECT item_id, count(*) AS n_shingles FROM sh GROUP BY item_id),
+shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN sh USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shingles, n_shared FROM shared JOIN n USING (item_id)
+WHERE n_shared * 100 >= n_shingles * {SIMILARITY_PERCENT}
+""")
+def op7_decontamination(spark, sf_dir):
+    return decontam.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query(r"""
+WITH RECURSIVE p0 AS (
+  SELECT page_id, html, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, html, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM p0),
+rules(rule_host, rule_path, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+  ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+fit AS (
+  SELECT page_id, rule_host || rule_path AS rule, v,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC) AS k
+  FROM p JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)),
+best AS (SELECT page_id, rule, v FROM fit WHERE k = 1),
+keyed AS (
+  SELECT p.*, CASE WHEN host <> '' THEN host || regexp_replace(path, '/+$', '') || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS key
+  FROM (SELECT *, coalesce(array_to_string(list_sort(list_filter(string_split(
+      regexp_extract(regexp_replace(url, '(?s)#.*', ''), '(?s)\?(.*)', 1), '&'),
+      lambda x: NOT starts_with(x, 'utm_') AND x <> '')), '&'), '') AS q FROM p) p),
+targets AS (
+  SELECT key AS u, regexp_extract(html, '(?is)<link[^>]*rel\s*=\s*["'']?canonical[^>]*?href\s*=\s*["'']?([^"''\s>]+)', 1) AS t
+  FROM keyed WHERE contains(lower(html), 'canonical')),
+edges AS (
+  SELECT u, regexp_replace(regexp_replace(t, '^[^:]*://', ''), '/+$', '') AS w FROM targets WHERE t <> '' AND u IS NOT NULL),
+both_ways AS (SELECT u, w FROM edges UNION SELECT w, u FROM edges),
+reach AS (
+  SELECT DISTINCT key AS a, key AS b FROM keyed WHERE key IS NOT NULL
+  UNION SELECT r.a, e.w FROM reach r JOIN both_ways e ON r.b = e.u),
+comp AS (SELECT a AS key, min(b) AS component FROM reach GROUP BY a),
+decision AS (
+  SELECT component, coalesce(bool_or(v = 'block'), false) AND NOT coalesce(bool_or(v = 'allow'), false) AS blocked
+  FROM keyed JOIN comp USING (key) LEFT JOIN best USING (page_id) GROUP BY component)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+       coalesce(v, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict, component
+FROM keyed LEFT JOIN best USING (page_id) LEFT JOIN comp USING (key) LEFT JOIN decision USING (component)
+""")
+def op8_url_filter(spark, sf_dir):
+    return url_filter.judge(read_table(spark, sf_dir, "pages"))
+
+
 @query(f"""
 WITH RECURSIVE sizes AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
