@@ -1,13 +1,57 @@
-"""The corpus pipeline: language ID, near-duplicate removal, decontamination, mixing, sharding."""
+"""The corpus pipeline: language ID, near-duplicate removal, decontamination, mixing and sharding.
+
+Each stage takes (spark, docs, sf_dir) and returns a frame, which is written as Parquet and read again as
+the next stage's docs. A stage looks only at the columns it names, keeps all columns and every clean
+document, and treats nulls, empty texts and repeated rows as its operator's docstring says.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from verdant.llm import decontam, jaccard, language, mixing, sharding
+from verdant.llm.common import read_table, staged
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or without a main language, go."""
+    return language.keep_identified(docs, language.learn(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by similarity the document of least doc_id stays."""
+    return jaccard.keep_one(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontam.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target takes it."""
+    return mixing.take(docs)
+
+
+def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their slot and shard."""
+    return sharding.assign_shards(docs, spark)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("ngram_jaccard", drop_near_duplicates),
+    ("decontamination", drop_benchmark_leaks),
+    ("mixing", mix_sources),
+    ("sharding", place_in_shards),
+]
+
+# The first stage learns a model, which SQL cannot express; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    from verdant.llm.common import read_table, staged
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order over ``documents``; the last one's result."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from verdant.llm.common import WORD, ranked, staged, whole_text
+from verdant.llm.common import WORD, fit_to_broadcast, ranked, staged, whole_text
 
 WEIGHTS = (5, 2, 1)   # of the sources in code-point order, repeating
 MAX_EPOCHS = 3        # a source is taken at most so many times
@@ -20,6 +20,11 @@ def _unit(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / F.lit(float(16 ** 12))
 
 
+def _row_key() -> Column:
+    """128 bits of a row's doc_id and text, which tell it apart even if an id is null or used twice."""
+    return F.unhex(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), whole_text())))
+
+
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(source, source_size, weight, target) from per-document (source, size).
 
@@ -49,7 +54,7 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_epochs: int =
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) for every row of ``docs``.
+    """(doc_id, row_key, source, size, source_size, target, copies, taken) for every row of ``docs``.
 
     A source whose target is r times its size takes each document floor(r) times, and one copy more of
     a seeded systematic sample with rate r - floor(r): the source's documents in order of size (then of
@@ -58,7 +63,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS,
     last; other columns of ``docs`` are not looked at. Rows that repeat a document count each.
     """
     size = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                       word_count().alias("size"))
+                       word_count().alias("size"), _row_key().alias("row_key"))
     size = staged(size.withColumn("draw", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))), "mix-sizes")
     targets = source_targets(size, weights, max_epochs)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -69,5 +74,25 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS,
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")))
     extra = F.floor((F.col("rank") + 1) * F.col("part") + F.col("start")) - F.floor(F.col("rank") * F.col("part") + F.col("start"))
     copies = (F.col("whole") + extra).cast("long")
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
+    return rows.select("doc_id", "row_key", "source", "size", "source_size", "target", copies.alias("copies"),
                        (copies * F.col("size")).alias("taken"))
+
+
+BROADCAST_ROWS = 1_000_000  # rows of the plan, of a key of 16 bytes and a number each
+
+
+def take(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """The mix itself: each row of ``docs``, with all its columns, as often as ``mix`` takes it.
+
+    Rows that repeat a doc_id and its text are one row taken as often as all of them.
+    """
+    plan = mix(docs, weights, max_epochs, seed).groupBy("row_key").agg(
+        F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    plan = staged(plan.where("_copies > 0").withColumnRenamed("row_key", "_key"), "mix-plan")
+    columns = docs.columns
+    rows = docs.withColumn("_row", _row_key()).join(fit_to_broadcast(plan, BROADCAST_ROWS), F.col("_row") == F.col("_key"))
+    repeated = rows.where("_rows > 1")
+    if not plan.where("_rows > 1").isEmpty():
+        rows = rows.where("_rows = 1").unionByName(repeated.dropDuplicates(["_row"]))
+    again = F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).alias("_again")
+    return rows.select(*[F.col(f"`{c}`") for c in columns], again).drop("_again")
