@@ -15,21 +15,55 @@ def _dir(name):
     return tempfile.mkdtemp(prefix=f"verdant-{name}-")
 
 
+def _feed(spark, rows, base, n):
+    parts = ST.write_message_files(rows, os.path.join(base, "parts"), n)
+    good, _ = ST.sensor_stream(ST.file_source(spark, os.path.join(base, "feed")))
+    return good, ST.arrivals(spark, parts, os.path.join(base, "feed"))
+
+
 def test_ingest_equals_batch_and_restart_adds_nothing(spark):
     base = _dir("ingest")
     src = readings(spark, SF)
-    feed = ST.write_message_files(src, os.path.join(base, "feed"), 4)
-    good, _ = ST.sensor_stream(ST.file_source(spark, feed, max_files=1))
-    pipe = ST.SensorIngest(spark, base)
-    ck = os.path.join(base, "ck")
-    ST.run_ingest(good, pipe, ck)
+    good, arrivals = _feed(spark, src, base, 4)
+    pipe, ck = ST.SensorIngest(spark, base), os.path.join(base, "ck")
+    for _ in arrivals:
+        ST.run_ingest(good, pipe, ck)
     hist = ST.history_view(spark, pipe.history)
     assert hist.count() == src.count()
     assert hist.exceptAll(src).count() == 0 and src.exceptAll(hist).count() == 0
+    assert [r[0] for r in pipe.log] == [0, 1, 2, 3] and pipe.log[-1][2] == src.count()
     # a restart from the checkpoint with no new files processes nothing new
-    good2, _ = ST.sensor_stream(ST.file_source(spark, feed, max_files=1))
-    ST.run_ingest(good2, ST.SensorIngest(spark, base), ck)
-    assert ST.history_view(spark, pipe.history).count() == src.count()
+    again = ST.SensorIngest(spark, base)
+    ST.run_ingest(good, again, ck)
+    assert ST.history_view(spark, pipe.history).count() == src.count() and again.log == []
+
+
+def test_replayed_batch_counts_once(spark):
+    base = _dir("replay")
+    rows = readings(spark, SF).where("event_id < 60")
+    pipe = ST.SensorIngest(spark, base, initial=readings(spark, SF).where("event_id >= 60 and event_id < 80"))
+    pipe(rows, 0)
+    pipe(rows, 0)
+    n = rows.count()
+    assert [r[1:3] for r in pipe.log] == [(n, n + pipe.initial_rows)] * 2
+
+
+def test_initial_history_trains_at_start_and_the_last_model_is_saved(spark):
+    base, seen, saved = _dir("initial"), [], []
+    initial = readings(spark, SF).where("event_id < 200")
+    pipe = ST.SensorIngest(spark, base, train=lambda h: seen.append(h.count()) or len(seen), snapshot_every=5, length=30,
+                           save=lambda m, path: saved.append((m, os.path.basename(path))), initial=initial)
+    assert seen == [initial.count()] and pipe.model == 1
+    pipe(readings(spark, SF).where("event_id >= 200 and event_id < 900"), 1)
+    assert pipe.log[-1][3] and seen[-1] == readings(spark, SF).where("event_id < 900").count() and saved == []
+    pipe.close()
+    assert saved == [(2, "v=1")]
+
+
+def test_kafka_waits_for_a_least_number_and_takes_all():
+    options = ST.kafka_options("host:9092", "readings")
+    assert options["minOffsetsPerTrigger"] == "100" and "maxTriggerDelay" in options
+    assert not any(k.startswith("maxOffsets") for k in options)
 
 
 def test_poison_messages_go_to_dead_letter(spark):
@@ -41,39 +75,37 @@ def test_poison_messages_go_to_dead_letter(spark):
         f.write("{bad\n")
         f.write('{"event_id": "x", "station_id": 3}\n')  # wrong-typed field -> null field, row kept
         f.write('{"event_id": 4, "station_id": 5, "extra": 1}\n')  # extra field ignored
+        f.write('{"event_id": 6} junk\n5\nnull\n[1]\n{"event_id": 7}{"event_id": 8}\n{"event_id": 9},{"event_id": 9}\n{"event_id": 9}] x\n')
     good, bad = ST.sensor_stream(ST.file_source(spark, feed))
     g = ST.run_to_table(good, os.path.join(base, "g"), os.path.join(base, "ckg"))
     b = ST.run_to_table(bad, os.path.join(base, "b"), os.path.join(base, "ckb"))
     assert sorted(r.station_id for r in g.collect()) == [2, 3, 5]
-    assert [r._corrupt_record for r in b.collect()] == ["{bad"]
+    assert sorted(r._corrupt_record for r in b.collect()) == sorted([
+        "{bad", '{"event_id": 6} junk', "5", "null", "[1]", '{"event_id": 7}{"event_id": 8}', '{"event_id": 9},{"event_id": 9}', '{"event_id": 9}] x'])
     assert g.filter(F.col("station_id") == 2).first().temperature == 20.5
 
 
-def test_late_rows_dropped_by_watermark(spark):
+def test_late_rows_reach_the_history_and_their_windows(spark):
     base = _dir("late")
     src = readings(spark, SF).filter(F.col("station_id") == 7)
-    n = src.count()
-    feed = os.path.join(base, "feed")
-    ST.write_message_files(src, feed, 2)
-    # a last file of rows two days older than everything seen: behind the 1-hour watermark
-    old = src.withColumn("event_time", F.col("event_time") - F.expr("INTERVAL 60 DAYS")).withColumn(
-        "event_id", F.col("event_id") + 1_000_000)
-    ST.write_message_files(old, feed, 1)
-    good, _ = ST.sensor_stream(ST.file_source(spark, feed, max_files=1))
-    out = ST.run_to_table(ST.stream_windows(good, 2, emit_all=True), os.path.join(base, "o"), os.path.join(base, "ck"))
-    ids = [r.event_id for r in out.collect()]
-    assert len(ids) == n and max(ids) < 1_000_000
+    pipe = ST.SensorIngest(spark, base)
+    windows = ST.BatchWindows(spark, base, 2)
+    late = src.withColumn("event_time", F.col("event_time") - F.expr("INTERVAL 60 DAYS")).withColumn("event_id", F.col("event_id") + 1_000_000)
+    for k, rows in enumerate((src, late)):
+        pipe(rows, k)
+        assert windows(rows, k).count() == src.count() - 1
+        assert windows(rows, k).count() == src.count() - 1  # a replay starts from the same rows
+    assert ST.history_view(spark, pipe.history).count() == 2 * src.count()
 
 
 def test_count_trigger_flushes_exactly(spark):
     base = _dir("count")
     src = readings(spark, SF).withColumn("shard", F.lit(0).cast("bigint")).drop("station_id")
     n = src.count()
-    feed = os.path.join(base, "feed")
-    ST.write_message_files(readings(spark, SF), feed, 3)
-    good, _ = ST.sensor_stream(ST.file_source(spark, feed, max_files=1))
+    good, arrivals = _feed(spark, readings(spark, SF), base, 3)
     sh = good.withColumn("shard", F.lit(0).cast("bigint")).drop("station_id")
-    out = ST.run_to_table(ST.count_trigger(sh, "shard", 100), os.path.join(base, "o"), os.path.join(base, "ck"))
+    for _ in arrivals:
+        out = ST.run_to_table(ST.count_trigger(sh, "shard", 100), os.path.join(base, "o"), os.path.join(base, "ck"))
     assert out.count() == (n // 100) * 100
     sizes = [r["count"] for r in out.groupBy("flush").count().collect()]
     assert set(sizes) == {100}
