@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from verdant.operators.joins import join_small
 from verdant.session import partitions_for, pin
 
 
@@ -47,7 +46,7 @@ def dense_index(df: DataFrame, order, group=None, name: str = "row_idx",
     if with_group_size:
         seg = seg.withColumn("_group_n", F.sum("_n").over(Window.partitionBy(*group_names)))
     keep = ["_pid", *group_names, "_off", "_first"] + (["_group_n"] if with_group_size else [])
-    out = join_small(tagged, seg.select(*keep), on=["_pid", *group_names], how="inner")
+    out = tagged.join(seg.select(*keep), on=["_pid", *group_names], how="inner")
     out = out.withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_first")).cast("bigint"))
     if with_group_size:
         out = out.withColumnRenamed("_group_n", f"{name}_group_size")
@@ -71,7 +70,7 @@ def running_total(df: DataFrame, value: str, order, name: str = "running_total",
     totals = sliced.groupBy("_pid").agg(F.sum(value).alias("_tot"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_tot").over(before), F.lit(0))).select("_pid", "_off")
-    out = join_small(local, offsets, on=["_pid"], how="inner")
+    out = local.join(offsets, on=["_pid"], how="inner")
     return out.withColumn(name, F.col("_off") + F.col("_local")).drop("_pid", "_off", "_local")
 
 
@@ -131,22 +130,40 @@ def best_so_far(df: DataFrame, metric: str, order: str, group=None, higher_is_be
 def plateau(df: DataFrame, loss: str, order: str, group=None, patience: int = 10,
             lr_patience: int = 5, min_delta: float = 1e-4, initial_lr: float = 1e-3,
             factor: float = 0.2, min_lr: float = 1e-4) -> DataFrame:
-    """Epochs since the last gain (any drop counts, as in Keras early stopping),
-    ``stop`` once that reaches ``patience``, the rate-cut counter (gain > min_delta, reset
-    after each cut: the k-th cut falls at k*lr_patience stagnant epochs) and the resulting
-    ``learning_rate`` = max(initial * factor^cuts, min_lr)."""
+    """Early stopping and learning-rate cuts along each run of epochs.
+
+    Two rules run side by side. Stopping: any drop below the best loss is a gain; after ``patience``
+    epochs without one the run stops, and stays stopped (``epochs_since_gain``, ``stop``). Rate: only a drop
+    of more than ``min_delta`` below its own best counts; after ``lr_patience`` epochs without one the rate is
+    multiplied by ``factor`` (never below ``min_lr``) and the wait starts again; the rate never rises
+    (``lr_cuts``, ``learning_rate``). The state depends on the epochs before, so each run, a list as long as
+    its epochs, is folded in order.
+    """
     group_cols = _cols(group)
-    w_prev = Window.partitionBy(*group_cols).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    w_run = Window.partitionBy(*group_cols).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    best_before = F.min(loss).over(w_prev)
-    out = (df.withColumn("_gain", best_before.isNull() | (F.col(loss) < best_before))
-             .withColumn("_lr_gain", best_before.isNull() | (F.col(loss) < best_before - F.lit(min_delta))))
-    last_gain = F.max(F.when(F.col("_gain"), F.col(order))).over(w_run)
-    last_lr_gain = F.max(F.when(F.col("_lr_gain"), F.col(order))).over(w_run)
-    out = (out.withColumn("epochs_since_gain", (F.col(order) - last_gain).cast("int"))
-              .withColumn("_since_lr", (F.col(order) - last_lr_gain).cast("int"))
-              .withColumn("stop", F.col("epochs_since_gain") >= F.lit(patience))
-              .withColumn("lr_cuts", F.floor(F.col("_since_lr") / F.lit(lr_patience)).cast("int"))
-              .withColumn("learning_rate", F.greatest(F.lit(initial_lr) * F.pow(F.lit(factor), F.col("lr_cuts")),
-                                                      F.lit(min_lr))))
-    return out.drop("_gain", "_lr_gain", "_since_lr")
+    names = [c for c in df.columns if c not in group_cols]
+    runs = df.groupBy(*group_cols).agg(F.sort_array(F.collect_list(F.struct(
+        F.col(order).alias("_o"), F.col(loss).cast("double").alias("_l"), F.struct(*names).alias("_row")))).alias("_run"))
+    state = F.struct(
+        F.lit(float("inf")).alias("best"), F.lit(0).alias("wait"), F.lit(False).alias("stop"),
+        F.lit(float("inf")).alias("lr_best"), F.lit(0).alias("lr_wait"), F.lit(0).alias("cuts"),
+        F.lit(float(initial_lr)).alias("lr"))
+    done = "array<struct<best double, wait int, stop boolean, lr_best double, lr_wait int, cuts int, lr double>>"
+
+    def step(seen, epoch):
+        s = F.element_at(F.concat(F.array(state), seen), -1)
+        x = epoch["_l"]
+        gain, lr_gain = x < s["best"], x < s["lr_best"] - F.lit(min_delta)
+        wait = F.when(gain, 0).otherwise(s["wait"] + 1)
+        waited = F.when(lr_gain, 0).otherwise(s["lr_wait"] + 1)
+        cut = (waited >= lr_patience) & (s["lr"] > F.lit(min_lr))
+        return F.concat(seen, F.array(F.struct(
+            F.least(x, s["best"]).alias("best"), wait.alias("wait"), (s["stop"] | (wait >= patience)).alias("stop"),
+            F.when(lr_gain, x).otherwise(s["lr_best"]).alias("lr_best"), F.when(cut, 0).otherwise(waited).alias("lr_wait"),
+            (s["cuts"] + cut.cast("int")).alias("cuts"),
+            F.when(cut, F.greatest(s["lr"] * F.lit(factor), F.lit(float(min_lr)))).otherwise(s["lr"]).alias("lr"))))
+
+    folded = runs.withColumn("_s", F.aggregate("_run", F.array().cast(done), step))
+    rows = folded.select(*group_cols, F.explode(F.arrays_zip("_run", "_s")).alias("_e"))
+    s = F.col("_e._s")
+    return rows.select(*group_cols, "_e._run._row.*", s["wait"].alias("epochs_since_gain"), s["stop"].alias("stop"),
+                       s["cuts"].alias("lr_cuts"), s["lr"].alias("learning_rate"))

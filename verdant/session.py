@@ -46,8 +46,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for reliable checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset (local tests)
-    a private scratch folder is created.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local master, whose executors are the
+    driver, gets a private scratch folder when that is unset.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -55,19 +55,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="verdant-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, one for all sessions (tests: the session's own)."""
+    own = checkpoint_dir(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or own
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for a written intermediate table."""
     base = checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{os.urandom(6).hex()}")
 
 
-TARGET_PARTITION_BYTES = 128 * 1024 * 1024
-MAX_PARTITIONS = 500_000
+TARGET_PARTITION_BYTES = 512 * 1024 * 1024
 _UNKNOWN_SIZE = 2 ** 62  # statistics-free leaves report the default size (Long.MaxValue)
 
 
@@ -90,24 +97,18 @@ def partitions_for(df, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
     ``target_bytes``, never fewer than ``spark.sql.shuffle.partitions``.
 
     Explicit ``repartitionByRange(n, ...)`` counts are not resized by AQE, so they must grow
-    with the data (about 800k partitions of 128 MB for 100 TB, capped at MAX_PARTITIONS).
+    with the data (about 200,000 partitions of 512 MB for 100 TB).
     """
     floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = input_bytes(df)
     if size is None:
         return floor
-    return int(min(max(floor, -(-size // target_bytes)), max(floor, MAX_PARTITIONS)))
+    return int(max(floor, -(-size // target_bytes)))
 
 
 def pin(df):
-    """Materialise ``df`` once as a reliable checkpoint in the shared folder and cut its lineage.
-
-    The rows are cached while the eager checkpoint counts them, so writing the checkpoint
-    reads the cache instead of recomputing the plan; the cache is released afterwards and
-    later reads (and retries after a lost executor) come from the checkpoint files.
-    """
-    checkpoint_dir(df.sparkSession)
-    staged = df.persist()
-    pinned = staged.checkpoint(eager=True)
-    staged.unpersist()
-    return pinned
+    """Write ``df`` once to the shared folder and read it back: the plan runs one time, later reads (and
+    retries after a lost executor) see the same rows and columns in the files."""
+    path = scratch_path(df.sparkSession, "pinned")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
