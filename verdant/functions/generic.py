@@ -58,8 +58,9 @@ def snake_name(x: ColumnOrName) -> Column:
 
 
 def title_case(x: ColumnOrName) -> Column:
-    """Capitalise words (after replacing '_' by ' ', as the report titles do)."""
-    return F.initcap(F.translate(_c(x), "_", " "))
+    """Capitalise every run of letters and lower the rest of it; other characters stay."""
+    parts = F.regexp_extract_all(_c(x), F.lit(r"[^\p{L}]+|\p{L}+"), 0)
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(p.substr(F.lit(2), F.length(p))))), "")
 
 
 def path_parts(url: ColumnOrName) -> dict[str, Column]:

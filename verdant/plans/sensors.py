@@ -200,16 +200,28 @@ def q_sensor_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good
 
 
+# what the event messages become: as they are, with text after them, cut short, or not objects
+MALFORMED = {
+    "whole": "props",
+    "trailing": "concat(props, ' junk')",
+    "cut": "substr(props, 1, length(props) - 1)",
+    "number": "CAST(event_id AS VARCHAR(20))",
+    "list": "concat('[', props, ']')",
+    "mixed": "CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN concat(props, props) ELSE 'null' END",
+}
+
+
 @query("split_valid", (
-    "SELECT source, count(*) FILTER (WHERE json_valid(value)) AS n_good,"
-    " count(*) FILTER (WHERE NOT json_valid(value)) AS n_bad FROM ("
-    " SELECT 'events' AS source, props AS value FROM events UNION ALL SELECT 'pages', url FROM pages)"
-    " GROUP BY source"))
+    "SELECT source, count(*) FILTER (WHERE ok) AS n_good, count(*) FILTER (WHERE NOT ok) AS n_bad FROM ("
+    " SELECT source, json_valid(value) AND json_type(CASE WHEN json_valid(value) THEN value END) = 'OBJECT' AS ok FROM ("
+    + " UNION ALL ".join(f"SELECT '{k}' AS source, {v} AS value FROM events" for k, v in MALFORMED.items())
+    + " UNION ALL SELECT 'pages', url FROM pages)) GROUP BY source"))
 def q_split_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON messages split into parsed rows and a dead-letter set (counted per source)."""
-    msgs = (base_table(spark, sf_dir, "events").select(F.lit("events").alias("source"), F.col("props").alias("value"))
-            .unionByName(base_table(spark, sf_dir, "pages").select(F.lit("pages").alias("source"),
-                                                                   F.col("url").alias("value"))))
+    events = base_table(spark, sf_dir, "events")
+    made = F.explode(F.array(*[F.struct(F.lit(k).alias("source"), F.expr(v).alias("value")) for k, v in MALFORMED.items()]))
+    msgs = events.select(made.alias("m")).select("m.*").unionByName(
+        base_table(spark, sf_dir, "pages").select(F.lit("pages").alias("source"), F.col("url").alias("value")))
     parsed = SJ.parse_json_column(msgs, "value", "k int")
     good, bad = C.split_valid(parsed)
     return (good.select("source", F.lit(1).alias("g"), F.lit(0).alias("b"))

@@ -19,6 +19,11 @@ def _hmod(key: str, k: int, m: int) -> str:
     return f"((({key} % {m}) * {k}) % {m})"
 
 
+def _size(key: str) -> str:
+    """Hectares, practically continuous: equal sizes come from equal keys, so joins on them grow with the tables."""
+    return f"5 + {_hmod(key, 7919, 1000000007)} / 2000000e0"
+
+
 def _case(expr: str, values: list[str]) -> str:
     whens = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values[:-1]))
     return f"CASE CAST({expr} AS INT) {whens} ELSE '{values[-1]}' END"
@@ -39,7 +44,7 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]]]] = {
         ("farm_id", "o_orderkey"),
         ("crop_type", _case("o_orderkey % 6", CROPS)),
         ("farming_method", _case("o_custkey % 5", FARMING_METHODS)),
-        ("farm_size_hectares", f"5 + {_hmod('o_orderkey', 7919, 4951)} / 10e0"),
+        ("farm_size_hectares", _size('o_orderkey')),
         ("fertilizer_kg_per_hectare",
          f"CASE WHEN o_orderkey % 37 = 0 THEN NULL ELSE {_hmod('o_orderkey', 104729, 3001)} / 10e0 END"),
         ("machinery_hours", f"10 + {_hmod('o_orderkey', 1299709, 1901)} / 10e0"),
@@ -52,7 +57,7 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]]]] = {
         ("irrigation_method", _case("p_size % 5", IRRIGATION_METHODS)),
         ("soil_type", _case("(p_partkey + p_size) % 5", SOIL_TYPES)),
         ("farm_size_hectares",
-         f"CASE WHEN p_partkey % 101 = 0 THEN NULL ELSE 5 + {_hmod('p_partkey', 7919, 4951)} / 20e0 END"),
+         f"CASE WHEN p_partkey % 101 = 0 THEN NULL ELSE {_size('p_partkey')} END"),
         ("annual_rainfall_mm", f"200 + {_hmod('p_partkey', 104729, 13001)} / 10e0"),
         ("temperature_celsius", f"10 + {_hmod('p_partkey', 1299709, 251)} / 10e0"),
         ("growing_season_days", f"60 + {_hmod('p_partkey', 15485863, 1201)} / 10e0"),
@@ -60,7 +65,7 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]]]] = {
     "farm_regen": ("customer", [
         ("regen_id", "c_custkey"),
         ("farm_type", _case("c_nationkey % 5", FARM_TYPES)),
-        ("farm_size_hectares", f"5 + {_hmod('c_custkey', 7919, 4951)} / 20e0"),
+        ("farm_size_hectares", _size('c_custkey')),
         ("years_practicing_regenerative", f"{_hmod('c_custkey', 104729, 151)} / 10e0"),
         ("soil_organic_matter_percent_initial", f"1 + {_hmod('c_custkey', 1299709, 201)} / 100e0"),
         ("uses_cover_crops", "CAST(c_custkey % 2 AS BIGINT)"),
@@ -75,7 +80,7 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]]]] = {
         ("env_id", "s_suppkey"),
         ("farm_type", _case("s_nationkey % 5", FARM_TYPES)),
         ("farming_system", _case("s_suppkey % 5", FARMING_SYSTEMS)),
-        ("farm_size_hectares", f"5 + {_hmod('s_suppkey', 7919, 4951)} / 20e0"),
+        ("farm_size_hectares", _size('s_suppkey')),
         ("pesticide_use_kg_per_hectare", f"{_hmod('s_suppkey', 104729, 101)} / 10e0"),
         ("fertilizer_use_kg_per_hectare", f"{_hmod('s_suppkey', 1299709, 3001)} / 10e0"),
         ("energy_use_kwh_per_hectare", f"100 + {_hmod('s_suppkey', 15485863, 1901)} / 1e0"),
@@ -128,10 +133,6 @@ def with_views(sql: str, *names: str, extra: list[tuple[str, str]] | None = None
     return ("WITH " + ",\n".join(ctes) + "\n" + sql) if ctes else sql
 
 
-def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base_table(spark, sf_dir, "embeddings")
-
-
 def documents_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as a file listing: id and size only (the text column is pruned from the scan)."""
     return base_table(spark, sf_dir, "documents").select(

@@ -9,9 +9,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# pandas reads these texts as missing; Spark only the empty string unless told (see D12).
-PANDAS_NULL_TEXT = ""
-
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -34,7 +31,7 @@ def list_files(spark: SparkSession, directory: str, suffix: str = ".csv") -> lis
 
 
 def read_table(spark: SparkSession, path: str, schema=None, fmt: str | None = None,
-               null_value: str | None = None) -> DataFrame:
+               null_value: str | None = None, mode: str | None = None) -> DataFrame:
     """A CSV with header (types inferred unless ``schema``) or a parquet/json table."""
     fmt = fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
     reader = spark.read
@@ -42,14 +39,17 @@ def read_table(spark: SparkSession, path: str, schema=None, fmt: str | None = No
         reader = reader.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", True).option("inferSchema", schema is None)
+        if mode:
+            reader = reader.option("mode", mode)
         if null_value is not None:
             reader = reader.option("nullValue", null_value)
         return reader.csv(path)
     return reader.format(fmt).load(path)
 
 
-def read_dir(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
-    """Every ``*.csv`` in a directory as a table named by its stem; unreadable ones skipped.
+def read_dir(spark: SparkSession, directory: str, strict: bool = False) -> dict[str, DataFrame]:
+    """Every ``*.csv`` in a directory as a table named by its stem; unreadable ones skipped
+    (``strict``: raised).
 
     Raises ``FileNotFoundError`` when there is no CSV at all.
     """
@@ -64,6 +64,8 @@ def read_dir(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
             df.schema  # noqa: B018  (forces the header / inference read)
             out[name] = df
         except Exception as e:  # noqa: BLE001 - the reference reports and skips unreadable files
+            if strict:
+                raise
             print(f"skipping {f}: {type(e).__name__}")
     return out
 
@@ -75,8 +77,8 @@ def read_dir_concat(spark: SparkSession, directory: str, ts: str = "timestamp",
     Files are read one by one (their headers may differ) and unioned by name; any error -> None.
     """
     try:
-        tables = list(read_dir(spark, directory).values())
-    except FileNotFoundError:
+        tables = list(read_dir(spark, directory, strict=True).values())
+    except Exception:  # noqa: BLE001 - one unreadable file: no table rather than part of one
         return None
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
     if ts in df.columns:
@@ -86,11 +88,16 @@ def read_dir_concat(spark: SparkSession, directory: str, ts: str = "timestamp",
 
 
 def read_or_default(spark: SparkSession, path: str | None, default, schema=None) -> DataFrame:
-    """The table at ``path`` if it exists and parses, else ``default()`` (a callable)."""
+    """The table at ``path`` if it exists and every row of it parses, else ``default()`` (a callable).
+
+    With a schema each row is read in FAILFAST mode once, all columns, before the table is handed out;
+    types that Spark infers from all rows fit them by construction.
+    """
     if path and path_exists(spark, path):
         try:
-            df = read_table(spark, path, schema)
-            df.limit(1).collect()  # parse probe on a few rows, not a full scan
+            df = read_table(spark, path, schema, mode="FAILFAST" if schema is not None else None)
+            if schema is not None:
+                df.write.format("noop").mode("overwrite").save()
             return df
         except Exception:  # noqa: BLE001
             pass
