@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from verdant.ml import features as M
 from verdant.operators import clean as C
+from verdant.session import partitions_for
 
 
 class _Cols(Params):
@@ -170,47 +171,28 @@ def dummies_preprocessor(numeric: list[str], categorical: list[str], categories:
 
 # --- model factories (reference sizes as defaults) -------------------------------------------------
 
-RF_MAX_DEPTH = 12  # the reference grows trees without a depth limit; MLlib caps depth at 30
+RF_MAX_DEPTH = 30  # the reference grows trees without a depth limit; this is MLlib's largest
 
+PARALLELISM = "spark.verdant.ml.parallelism"       # model fits at once
+NODE_MEMORY = "spark.verdant.ml.nodeMemoryMB"      # a task's budget for tree histograms
+DEFAULTS = {PARALLELISM: 2, NODE_MEMORY: 64}
 
-def heap_mb(spark=None) -> int:
-    """Max heap of the driver JVM (in local mode also the executors'), in MB."""
+
+def setting(spark, name: str) -> int:
     from pyspark.sql import SparkSession
     spark = spark or SparkSession.getActiveSession()
-    try:
-        return int(spark.sparkContext._jvm.java.lang.Runtime.getRuntime().maxMemory() // (1024 * 1024))
-    except Exception:  # noqa: BLE001
-        return 1024
+    return int(spark.conf.get(name, str(DEFAULTS[name]))) if spark else DEFAULTS[name]
 
 
 def fit_parallelism(spark, n_tasks: int) -> int:
-    """How many model fits to run at once: ``spark.verdant.ml.parallelism`` if set, else one per
-    2 GB of driver heap (fitted forests of 100 deep trees live on the driver), between 1 and 4."""
-    conf = spark.conf.get("spark.verdant.ml.parallelism", None)
-    if conf:
-        return max(1, min(n_tasks, int(conf)))
-    return max(1, min(n_tasks, 4, heap_mb(spark) // 2048))
-
-
-def node_memory_mb(spark, data_bytes: int | None = None) -> int:
-    """MLlib's per-task histogram budget (``maxMemoryInMB``), kept inside heap / 16.
-
-    A larger budget splits more tree nodes per pass over the data, which pays off when a pass
-    is expensive (large inputs); on small inputs the bigger arrays only add GC time."""
-    cap = max(32, heap_mb(spark) // 16)
-    if data_bytes is not None and data_bytes < (1 << 30):
-        return 32
-    return int(min(256, cap))
+    """How many of ``n_tasks`` model fits run at once (a setting; fitted forests live on the driver)."""
+    return max(1, min(n_tasks, setting(spark, PARALLELISM)))
 
 
-def tune_for(model, df):
-    """Set the tree learners' histogram budget from the size of the training input."""
-    from verdant.session import input_bytes
-    mem = node_memory_mb(df.sparkSession, input_bytes(df))
-    inner = model.getClassifier() if isinstance(model, OneVsRest) else model
-    if inner.hasParam("maxMemoryInMB"):
-        inner.setMaxMemoryInMB(mem)
-    return model
+def node_memory_mb(spark=None) -> int:
+    """MLlib's per-task histogram budget (``maxMemoryInMB``, a setting): a larger one splits more tree
+    nodes in each pass over the data."""
+    return setting(spark, NODE_MEMORY)
 
 
 def random_forest(label: str, min_leaf: int = 1, num_trees: int = 100, max_depth: int = RF_MAX_DEPTH,
@@ -218,14 +200,14 @@ def random_forest(label: str, min_leaf: int = 1, num_trees: int = 100, max_depth
     """Random forest regressor, all features considered at every split."""
     return RandomForestRegressor(labelCol=label, numTrees=num_trees, minInstancesPerNode=min_leaf,
                                  featureSubsetStrategy="all", maxDepth=max_depth, seed=seed,
-                                 maxMemoryInMB=node_memory_mb(None), cacheNodeIds=True)
+                                 maxMemoryInMB=node_memory_mb(), cacheNodeIds=True)
 
 
 def gradient_boosting(label: str, rounds: int = 100, rate: float = 0.1, depth: int = 3,
                       seed: int = 42) -> GBTRegressor:
     """Squared-loss boosting of depth-3 trees."""
     return GBTRegressor(labelCol=label, maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed,
-                        maxMemoryInMB=node_memory_mb(None), cacheNodeIds=True)
+                        maxMemoryInMB=node_memory_mb(), cacheNodeIds=True)
 
 
 def boosted_tabular(label: str, task: str, n_classes: int = 2, rounds: int = 100, rate: float = 0.1,
@@ -237,7 +219,7 @@ def boosted_tabular(label: str, task: str, n_classes: int = 2, rounds: int = 100
     """
     common = dict(maxIter=rounds, stepSize=rate, maxDepth=depth, subsamplingRate=sample,
                   featureSubsetStrategy=str(col_sample), seed=seed, minInstancesPerNode=1,
-                  maxMemoryInMB=node_memory_mb(None), cacheNodeIds=True)
+                  maxMemoryInMB=node_memory_mb(), cacheNodeIds=True)
     if validation_col:
         common["validationIndicatorCol"] = validation_col
     if task == "regression":
@@ -262,6 +244,5 @@ def assemble(stages: list, model) -> Pipeline:
 
 
 def ensure_parallelism(df: DataFrame) -> DataFrame:
-    """Spread a small training table over the cluster's cores (MLlib runs one task per partition)."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    """Spread a training table evenly over the cluster's cores (MLlib runs one task per partition)."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, partitions_for(df)))

@@ -7,6 +7,7 @@ metric rows. Cross-validation folds run concurrently (one Spark job stream per t
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -78,7 +79,7 @@ def train_select(df: DataFrame, target: str, key: str, numeric: list[str], categ
     else:
         stages = P.preprocessor(numeric, categorical)
     # every fit is independent: all (candidate, fold) CV fits and the final fits run concurrently
-    ests = {name: P.assemble(stages, P.tune_for(model, train)) for name, model in candidates.items()}
+    ests = {name: P.assemble(stages, model) for name, model in candidates.items()}
     folded = M.kfold(train, key, CV_FOLDS, name="_fold") if select_on == "cv" else None
 
     def cv_fit(task):
@@ -165,10 +166,7 @@ def train_tabular(df: DataFrame, target: str | None = None, key: str | None = No
     data = P.ensure_parallelism(M.train_test_split(data, key, 0.2)).persist()
     train, test = data.filter(F.col("split") == "train"), data.filter(F.col("split") == "test")
     extra_tables: dict = {}
-    est = P.assemble(P.preprocessor(numeric, categorical),
-                     P.tune_for(P.boosted_tabular(label, task, n_classes, rounds), train))
-    pool = ThreadPoolExecutor(max_workers=1)
-    final = pool.submit(est.fit, train) if P.fit_parallelism(spark, 2) > 1 else None
+    est = P.assemble(P.preprocessor(numeric, categorical), P.boosted_tabular(label, task, n_classes, rounds))
     if task == "regression":
         cv = cross_validate(est, train, label, key, folds)
     else:
@@ -180,8 +178,7 @@ def train_tabular(df: DataFrame, target: str | None = None, key: str | None = No
             return p.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
         with ThreadPoolExecutor(max_workers=P.fit_parallelism(spark, folds)) as pool:
             cv = list(pool.map(one, range(folds)))
-    model = final.result() if final is not None else est.fit(train)
-    pool.shutdown()
+    model = est.fit(train)
     pred = model.transform(test)
     if task == "regression":
         m = S.regression_metrics(pred, label, "prediction").first()
@@ -222,7 +219,6 @@ def window_vector(features: list[str], stats: dict, window: str = "window") -> F
 
 def save_forecaster(res: "TrainResult", path: str) -> None:
     """The fitted model plus the min-max statistics it needs to score (JSON next to it)."""
-    import json
     res.model.write().overwrite().save(os.path.join(path, "model"))
     meta = json.dumps({"features": res.numeric, "target": res.target, "stats": res.extra["stats"]})
     spark = SparkSession.getActiveSession()
@@ -230,7 +226,6 @@ def save_forecaster(res: "TrainResult", path: str) -> None:
 
 
 def load_forecaster(spark: SparkSession, path: str) -> "TrainResult":
-    import json
     meta = json.loads(spark.read.text(os.path.join(path, "meta")).first().value)
     stats = {k: tuple(v) for k, v in meta["stats"].items()}
     return TrainResult(PipelineModel.load(os.path.join(path, "model")), None, meta["features"], [], meta["target"],
@@ -315,23 +310,37 @@ def classify_vectors(df: DataFrame, vec: str = "embedding", label: str = "label"
 # --- persistence (S10, S11), scoring (M16, M17, J6), importances (M18) ---------------------------------
 
 def model_path(spark: SparkSession, kind: str, source: str) -> str:
+    """Where the model of a kind and a source is kept: the same in every session of one shared folder."""
     tag = hashlib.md5(source.encode()).hexdigest()[:10]
-    return os.path.join(checkpoint_dir(spark), "models", f"{kind}-{tag}")
+    return os.path.join(shared_dir(spark), "models", f"{kind}-{tag}")
 
 
 def save_model(result: TrainResult, path: str) -> str:
-    """S10 + S11: PipelineModel plus a JSON metadata row."""
-    result.model.write().overwrite().save(path)
-    save_metadata(result.metrics.sparkSession, path + "_meta", result.target,
-                  result.extra.get("task", "regression"),
+    """S10 + S11: PipelineModel, its feature lists and metrics."""
+    spark = result.metrics.sparkSession
+    result.metrics.coalesce(1).write.mode("overwrite").parquet(path + "_metrics")
+    save_metadata(spark, path + "_meta", result.target, result.extra.get("task", "regression"),
                   {"numeric": result.numeric, "categorical": result.categorical, **{
                       k: v for k, v in result.extra.items() if isinstance(v, (str, int, float))}})
+    result.model.write().overwrite().save(path)  # last: a model that is there is complete
     return path
 
 
 def load_model(spark: SparkSession, path: str) -> PipelineModel | None:
     """The saved model, or None when there is none."""
-    return PipelineModel.load(path) if path_exists(spark, path) else None
+    return PipelineModel.load(path) if path_exists(spark, os.path.join(path, "metadata")) else None
+
+
+def load_result(spark: SparkSession, path: str) -> TrainResult | None:
+    """S10 + S11: everything ``predict`` needs (model, feature lists, target, metrics), or None."""
+    model = load_model(spark, path)
+    if model is None:
+        return None
+    meta = spark.read.schema("target_column string, task_type string, params map<string,string>").json(path + "_meta").first()
+    params = {k: json.loads(v) for k, v in meta.params.items()}
+    numeric, categorical = params.pop("numeric"), params.pop("categorical")
+    return TrainResult(model, spark.read.parquet(path + "_metrics"), numeric, categorical, meta.target_column,
+                       {**params, "task": meta.task_type})
 
 
 def predict(df: DataFrame, kind: str, model: PipelineModel | None, numeric: list[str] | None = None,

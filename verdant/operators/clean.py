@@ -178,14 +178,12 @@ FILL_WITH_MEAN_COLUMNS = ["carbon_footprint_kg_co2e", "water_usage_cubic_meters"
                           "soil_organic_matter_percent_current", "overall_environmental_impact_score"]
 
 
-def fill_with_mean(df: DataFrame, cols: list[str] | None = None, digits: int | None = None,
-                   materialize: bool = False) -> DataFrame:
+def fill_with_mean(df: DataFrame, cols: list[str] | None = None, materialize: bool = False) -> DataFrame:
     """P10: null -> column mean (over this table's rows) for the named columns that exist.
 
     The means are one aggregate row (bounded) turned into literals; all-null stays null.
-    ``digits`` rounds the fill values. ``materialize`` checkpoints ``df`` first (reliable, in
-    the shared checkpoint folder) so an expensive input (a join chain) is computed once for
-    both the means and the filled output.
+    ``materialize`` writes ``df`` to the shared folder first, so an expensive input (a join chain)
+    is computed once for both the means and the filled output.
     """
     cols = [c for c in (cols or FILL_WITH_MEAN_COLUMNS) if c in df.columns]
     if not cols:
@@ -199,8 +197,6 @@ def fill_with_mean(df: DataFrame, cols: list[str] | None = None, digits: int | N
         m = means[c]
         if m is None:
             continue
-        if digits is not None:
-            m = round(m, digits)
         out[c] = F.coalesce(F.col(c), F.lit(float(m)))
     return df.withColumns(out) if out else df
 

@@ -222,12 +222,13 @@ def q_merge_common(spark: SparkSession, sf_dir: str) -> DataFrame:
                           ["crop_type", "farm_size_hectares"])
 
 
-_FILL_MEANS = ", ".join(f"{rnd(f'avg({c})')} AS {c}" for c in FILL_WITH_MEAN_COLUMNS)
+_MEANS = ", ".join(f"avg({c}) AS {c}" for c in FILL_WITH_MEAN_COLUMNS)
+_FILL_MEANS = ", ".join(f"{rnd(f'avg({c})', 4)} AS {c}" for c in FILL_WITH_MEAN_COLUMNS)
 _M3_COLS = _M2_COLS + ENV_ONLY
-_M3_CTES = MERGE_CTES + [("means", f"SELECT {_FILL_MEANS} FROM m3")]
+_M3_CTES = MERGE_CTES + [("means", f"SELECT {_MEANS} FROM m3")]
 MERGE_ALL_SQL = with_views(
     "SELECT " + ", ".join(
-        f"COALESCE(m3.{c}, means.{c}) AS {c}" if c in FILL_WITH_MEAN_COLUMNS else f"m3.{c}" for c in _M3_COLS)
+        f"{rnd(f'COALESCE(m3.{c}, means.{c})', 4)} AS {c}" if c in FILL_WITH_MEAN_COLUMNS else f"m3.{c}" for c in _M3_COLS)
     + " FROM m3, means", *FARM_VIEWS, extra=_M3_CTES)
 
 
@@ -235,16 +236,14 @@ MERGE_ALL_SQL = with_views(
 def q_merge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J4 + P10: the four-table chain, then null -> mean (means over the joined rows, 1e-6).
 
-    The chain is evaluated twice (means, then output) rather than materialised: the merge grows
-    many-to-many, so writing its output costs more than re-running the joins (measured at sf0.1:
-    6-7 s against 8.5-10 s with a checkpoint)."""
-    return fill_with_mean(merged_chain(spark, sf_dir), digits=DIGITS, materialize=False)
+    The merged rows are written once to the shared folder; the means and the output read them there."""
+    return rounded(fill_with_mean(merged_chain(spark, sf_dir), materialize=True), FILL_WITH_MEAN_COLUMNS, digits=4)
 
 
 @query("column_means", with_views(f"SELECT {_FILL_MEANS} FROM m3", *FARM_VIEWS, extra=MERGE_CTES))
 def q_column_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5: the fill means over the merged rows."""
-    return rounded(S.column_means(merged_chain(spark, sf_dir), FILL_WITH_MEAN_COLUMNS))
+    return rounded(S.column_means(merged_chain(spark, sf_dir), FILL_WITH_MEAN_COLUMNS), digits=4)
 
 
 def _positional_sql(left: str, left_cols: list[str], left_key: str, right: str, right_cols: list[str],

@@ -244,19 +244,31 @@ def q_best_so_far(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, ["accuracy"])
 
 
-@query("plateau", with_views(
-    "SELECT epoch, split, CAST(epoch - max(CASE WHEN gain THEN epoch END) OVER r AS INTEGER) AS epochs_since_gain,"
-    " epoch - max(CASE WHEN gain THEN epoch END) OVER r >= 10 AS stop,"
-    " CAST(floor((epoch - max(CASE WHEN lr_gain THEN epoch END) OVER r) / 5) AS INTEGER) AS lr_cuts,"
-    " round(greatest(1e-3 * pow(2e-1, floor((epoch - max(CASE WHEN lr_gain THEN epoch END) OVER r) / 5)), 1e-4), 9)"
-    " AS learning_rate"
-    " FROM (SELECT *, (best IS NULL OR loss < best) AS gain, (best IS NULL OR loss < best - 1e-4) AS lr_gain"
-    " FROM (SELECT *, min(loss) OVER (PARTITION BY split ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    " AS best FROM epochs)) WINDOW r AS (PARTITION BY split ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
-    extra=[_SCORED_EMB, ("log", _EPOCH_SQL), _EPOCHS]))
+# long runs: every vector is scored in one of 48 "epochs"; the loss falls in steps, drifts below the rate
+# rule's least drop, and from epoch 31 on stays put
+_RUN_EPOCHS = 48
+_RUN_LOSS = ("1e0 - 1e-2 * least(floor((epoch - 1) / 8e0), 3e0) - 2e-5 * least(epoch, 30)"
+             " + CASE WHEN split = 'test' AND epoch % 3 = 0 THEN 5e-3 ELSE 0e0 END")
+_RUNS = ("runs", f"SELECT split, epoch, {_RUN_LOSS} AS loss, n FROM (SELECT CAST(vec_id % {_RUN_EPOCHS} + 1 AS INTEGER) AS epoch,"
+                 " CASE WHEN label < 5 THEN 'train' ELSE 'test' END AS split, count(*) AS n FROM embeddings GROUP BY 1, 2)")
+
+
+@query("plateau",
+       "WITH RECURSIVE " + f"{_RUNS[0]} AS ({_RUNS[1]}), r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY epoch) AS i FROM runs),"
+       " f AS (SELECT split, epoch, n, i, loss AS best, 0 AS wait, false AS stop, loss AS lr_best, 0 AS lr_wait, 0 AS cuts, 1e-3::DOUBLE AS lr"
+       "  FROM r WHERE i = 1 UNION ALL"
+       "  SELECT split, epoch, n, i, least(best, loss), w, stop OR w >= 10, CASE WHEN lw = 0 THEN loss ELSE lr_best END,"
+       "   CASE WHEN lw >= 5 AND lr > 1e-4 THEN 0 ELSE lw END, cuts + CASE WHEN lw >= 5 AND lr > 1e-4 THEN 1 ELSE 0 END,"
+       "   CASE WHEN lw >= 5 AND lr > 1e-4 THEN CASE WHEN lr * 2e-1 < 1e-4 THEN 1e-4 ELSE lr * 2e-1 END ELSE lr END"
+       "  FROM (SELECT r.split, r.epoch, r.n, r.i, r.loss, f.best, f.stop, f.lr_best, f.cuts, f.lr,"
+       "   CASE WHEN r.loss < f.best THEN 0 ELSE f.wait + 1 END AS w,"
+       "   CASE WHEN r.loss < f.lr_best - 1e-4 THEN 0 ELSE f.lr_wait + 1 END AS lw"
+       "   FROM f JOIN r ON r.split = f.split AND r.i = f.i + 1))"
+       " SELECT epoch, split, n, wait AS epochs_since_gain, stop, cuts AS lr_cuts, round(lr, 9) AS learning_rate FROM f")
 def q_plateau(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Epochs since the last loss gain, stop flag (patience 10) and learning-rate cuts (patience 5)."""
-    m = S.epoch_metrics(epoch_log(spark, sf_dir))
-    out = W.plateau(m, "loss", "epoch", "split", patience=10, lr_patience=5).select(
-        "epoch", "split", "epochs_since_gain", "stop", "lr_cuts", "learning_rate")
+    rows = base_table(spark, sf_dir, "embeddings").selectExpr(
+        f"CAST(vec_id % {_RUN_EPOCHS} + 1 AS INT) AS epoch", "CASE WHEN label < 5 THEN 'train' ELSE 'test' END AS split")
+    runs = rows.groupBy("epoch", "split").agg(F.count(F.lit(1)).alias("n")).selectExpr("epoch", "split", "n", f"{_RUN_LOSS} AS loss")
+    out = W.plateau(runs, "loss", "epoch", "split", patience=10, lr_patience=5).drop("loss")
     return rounded(out, ["learning_rate"], TDIGITS)

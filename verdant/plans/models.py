@@ -24,11 +24,15 @@ _TRAINED: dict = {}
 
 
 def trained(spark: SparkSession, sf_dir: str, kind: str) -> T.TrainResult:
-    """Train once per (kind, source) in this session; the model is also saved."""
+    """The model of (kind, source): kept in this session, else loaded from the shared folder (S10, S11),
+    else trained and saved there."""
     key = (spark.sparkContext.applicationId, kind, sf_dir.rstrip("/"))
     if key not in _TRAINED:
-        res = T.train_sustainability(TABLES[kind](spark, sf_dir), kind)
-        T.save_model(res, T.model_path(spark, kind, key[2]))
+        path = T.model_path(spark, kind, key[2])
+        res = T.load_result(spark, path)
+        if res is None:
+            res = T.train_sustainability(TABLES[kind](spark, sf_dir), kind)
+            T.save_model(res, path)
         _TRAINED[key] = res
     return _TRAINED[key]
 

@@ -250,26 +250,29 @@ def q_dummies(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TRAIN_CARBON = f"substr({_md5('farm_id')}, 1, 8) >= '33333333'"
 
 
+_NULLABLE = "CASE WHEN farm_id % 7 = 0 THEN NULL WHEN farm_id % 5 < 2 THEN 'Wheat' ELSE crop_type END"
+
+
 @query("impute", with_views(
     "SELECT farm_id, COALESCE(fertilizer_kg_per_hectare, (SELECT quantile_cont(fertilizer_kg_per_hectare, 0.5)"
     f" FROM farm_carbon WHERE {_TRAIN_CARBON})) AS fertilizer_kg_per_hectare,"
-    f" COALESCE(crop_type, (SELECT min(crop_type) FROM farm_carbon WHERE {_TRAIN_CARBON})) AS crop_type"
-    " FROM farm_carbon", "farm_carbon"))
+    f" COALESCE({_NULLABLE}, (SELECT v FROM (SELECT {_NULLABLE} AS v FROM farm_carbon WHERE {_TRAIN_CARBON}) WHERE v IS NOT NULL"
+    " GROUP BY v ORDER BY count(*) DESC, v LIMIT 1)) AS crop_type FROM farm_carbon", "farm_carbon"))
 def q_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact median / most-frequent fill fitted on the train split."""
-    df = M.train_test_split(view(spark, sf_dir, "farm_carbon"), "farm_id")
+    farms = view(spark, sf_dir, "farm_carbon").withColumn("crop_type", F.expr(_NULLABLE))
+    df = M.train_test_split(farms, "farm_id")
     fills = C.fit_impute(df.filter(F.col("split") == "train"), ["fertilizer_kg_per_hectare"], ["crop_type"])
     return C.apply_impute(df, fills).select("farm_id", "fertilizer_kg_per_hectare", "crop_type")
 
 
 @query("fill_with_mean", with_views(
-    f"SELECT farm_id, COALESCE(fertilizer_kg_per_hectare, (SELECT {rnd('avg(fertilizer_kg_per_hectare)')}"
-    " FROM farm_carbon)) AS fertilizer_kg_per_hectare FROM farm_carbon", "farm_carbon"))
+    "SELECT farm_id, round(COALESCE(fertilizer_kg_per_hectare, (SELECT avg(fertilizer_kg_per_hectare)"
+    f" FROM farm_carbon)), {DIGITS}) AS fertilizer_kg_per_hectare FROM farm_carbon", "farm_carbon"))
 def q_fill_with_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P10 on one table: null -> column mean (reported to 1e-6)."""
     df = view(spark, sf_dir, "farm_carbon")
-    return C.fill_with_mean(df, ["fertilizer_kg_per_hectare"], digits=DIGITS).select(
-        "farm_id", "fertilizer_kg_per_hectare")
+    return rounded(C.fill_with_mean(df, ["fertilizer_kg_per_hectare"]).select("farm_id", "fertilizer_kg_per_hectare"))
 
 
 # --- order and top-k (O2, O5, W4) ------------------------------------------------------------------
@@ -310,11 +313,13 @@ def q_snake(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("title_case", (
-    "SELECT p_partkey, array_to_string(list_transform(string_split(replace(lower(p_type), '_', ' '), ' '),"
-    " lambda w: upper(w[1]) || w[2:]), ' ') AS title FROM part"))
+    "SELECT p_partkey, array_to_string(list_transform(string_split(lower(p_type), ' '),"
+    " lambda w: array_to_string(list_transform(string_split(w, '_'), lambda v: upper(v[1]) || v[2:]), '_')), ' ') AS title"
+    " FROM (SELECT p_partkey, replace(p_type, 'A', '_A') AS p_type FROM part)"))
 def q_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capitalised words."""
-    return base_table(spark, sf_dir, "part").select("p_partkey", G.title_case(F.lower("p_type")).alias("title"))
+    named = F.replace("p_type", F.lit("A"), F.lit("_A"))  # an underscore stays where it is
+    return base_table(spark, sf_dir, "part").select("p_partkey", G.title_case(named).alias("title"))
 
 
 @query("indicator", with_views(
@@ -327,5 +332,3 @@ def q_indicator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("farm_id", G.indicator("farming_method", "Organic").alias("is_organic"),
                      G.indicator("fertilizer_kg_per_hectare").alias("uses_fertilizer"))
 
-
-ALL_METHODS = FARMING_METHODS
