@@ -3,7 +3,7 @@ merges (J1-J4, P10, A5) over the farm views."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from verdant.functions import domain as D
 from verdant.operators import joins as J
@@ -228,7 +228,7 @@ _M3_COLS = _M2_COLS + ENV_ONLY
 _M3_CTES = MERGE_CTES + [("means", f"SELECT {_MEANS} FROM m3")]
 MERGE_ALL_SQL = with_views(
     "SELECT " + ", ".join(
-        f"{rnd(f'COALESCE(m3.{c}, means.{c})', 4)} AS {c}" if c in FILL_WITH_MEAN_COLUMNS else f"m3.{c}" for c in _M3_COLS)
+        f"COALESCE(m3.{c}, {rnd(f'means.{c}', 4)}) AS {c}" if c in FILL_WITH_MEAN_COLUMNS else f"m3.{c}" for c in _M3_COLS)
     + " FROM m3, means", *FARM_VIEWS, extra=_M3_CTES)
 
 
@@ -237,7 +237,11 @@ def q_merge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J4 + P10: the four-table chain, then null -> mean (means over the joined rows, 1e-6).
 
     The merged rows are written once to the shared folder; the means and the output read them there."""
-    return rounded(fill_with_mean(merged_chain(spark, sf_dir), materialize=True), FILL_WITH_MEAN_COLUMNS, digits=4)
+    merged = merged_chain(spark, sf_dir).withColumns({f"_{c}": F.col(c) for c in FILL_WITH_MEAN_COLUMNS})
+    filled = fill_with_mean(merged, FILL_WITH_MEAN_COLUMNS, materialize=True)
+    # only what was filled in is rounded for the report
+    shown = {c: F.coalesce(f"_{c}", F.round(c, 4)) for c in FILL_WITH_MEAN_COLUMNS}
+    return filled.withColumns(shown).drop(*[f"_{c}" for c in FILL_WITH_MEAN_COLUMNS])
 
 
 @query("column_means", with_views(f"SELECT {_FILL_MEANS} FROM m3", *FARM_VIEWS, extra=MERGE_CTES))

@@ -140,6 +140,24 @@ def q_read_or_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_or_default(spark, f"{sf_dir.rstrip('/')}/no_such_table.csv", lambda: view(spark, sf_dir, "farm_water"))
 
 
+@query("read_or_default_existing", with_views(
+    "SELECT 'good' AS file, farm_id, machinery_hours FROM farm_carbon UNION ALL SELECT 'bad', farm_id, -1e0 FROM farm_carbon", "farm_carbon"))
+def q_read_or_default_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An existing file whose rows all parse is the table; one with a single bad row gives the default."""
+    from verdant.session import scratch_path
+    from verdant.sources.tables import read_or_default, write_csv
+    df = view(spark, sf_dir, "farm_carbon").select("farm_id", "machinery_hours")
+    last = df.agg(F.max("farm_id")).first()[0]
+    text = F.when(F.col("farm_id") == last, F.lit("broken")).otherwise(F.col("machinery_hours").cast("string"))
+    out = None
+    for name, rows in (("good", df), ("bad", df.withColumn("machinery_hours", text))):
+        path = write_csv(rows, scratch_path(spark, f"csv-{name}"))
+        got = read_or_default(spark, path, lambda: df.withColumn("machinery_hours", F.lit(-1.0)), schema=df.schema)
+        got = got.select(F.lit(name).alias("file"), "farm_id", "machinery_hours")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 @query("write_csv", with_views("SELECT * FROM farm_water", "farm_water"))
 def q_write_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S8 + S1: a table written as CSV (header, no index) and read back with the same types."""

@@ -9,6 +9,7 @@ from verdant.functions import generic as G
 from verdant.ml import features as M
 from verdant.operators import stats as S
 from verdant.operators import windows as W
+from verdant.plans.farm import carbon_table, env_table, farm_sql, water_table
 from verdant.plans.registry import TDIGITS, dlit, query, rnd, rounded
 from verdant.sources.adapters import base_table, view, with_views
 
@@ -115,6 +116,23 @@ def q_scatter_data(spark: SparkSession, sf_dir: str) -> DataFrame:
                                         (F.col("y_true") - F.col("y_pred")).alias("residual"))
 
 
+_POINTS = [("carbon", "farm_id", "carbon_footprint_kg_co2e", "carbon_m"),
+           ("water", "water_id", "water_usage_cubic_meters", "water_m"),
+           ("impact", "env_id", "overall_environmental_impact_score", "env_m")]
+
+
+@query("size_points", farm_sql(" UNION ALL ".join(
+    f"SELECT '{name}' AS chart, CAST({key} AS BIGINT) AS id, farm_size_hectares AS x, {y} AS y FROM {cte}"
+    for name, key, y, cte in _POINTS)))
+def q_size_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2: farm size vs footprint, water usage and impact score, one point set each."""
+    tables = {"carbon": carbon_table, "water": water_table, "impact": env_table}
+    sets = [tables[name](spark, sf_dir).select(F.lit(name).alias("chart"), F.col(key).cast("bigint").alias("id"),
+                                               F.col("farm_size_hectares").alias("x"), F.col(y).alias("y"))
+            for name, key, y, _ in _POINTS]
+    return sets[0].unionByName(sets[1]).unionByName(sets[2])
+
+
 @query("clip", scored_sql(
     "SELECT l_orderkey, l_linenumber, CASE WHEN y_pred < 5e3 THEN 5e3 WHEN y_pred > 5e4 THEN 5e4 ELSE y_pred END"
     " AS y_pred_clipped, CASE WHEN y_true - y_pred < 0e0 THEN 0e0 ELSE y_true - y_pred END AS under_forecast"
@@ -253,6 +271,17 @@ _RUNS = ("runs", f"SELECT split, epoch, {_RUN_LOSS} AS loss, n FROM (SELECT CAST
                  " CASE WHEN label < 5 THEN 'train' ELSE 'test' END AS split, count(*) AS n FROM embeddings GROUP BY 1, 2)")
 
 
+@query("best_so_far_loss", with_views(
+    f"SELECT epoch, split, {rnd('loss', TDIGITS)} AS loss, loss < COALESCE(min(loss) OVER (PARTITION BY split ORDER BY epoch"
+    " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), CAST('Infinity' AS DOUBLE)) AS is_best FROM epochs",
+    extra=[_SCORED_EMB, ("log", _EPOCH_SQL), _EPOCHS]))
+def q_best_so_far_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W5, lower is better: epochs whose loss is below every earlier epoch's of the split."""
+    m = S.epoch_metrics(epoch_log(spark, sf_dir))
+    out = W.best_so_far(m, "loss", "epoch", "split", higher_is_better=False).select("epoch", "split", "loss", "is_best")
+    return rounded(out, ["loss"], TDIGITS)
+
+
 @query("plateau",
        "WITH RECURSIVE " + f"{_RUNS[0]} AS ({_RUNS[1]}), r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY epoch) AS i FROM runs),"
        " f AS (SELECT split, epoch, n, i, loss AS best, 0 AS wait, false AS stop, loss AS lr_best, 0 AS lr_wait, 0 AS cuts, 1e-3::DOUBLE AS lr"

@@ -15,7 +15,7 @@ from verdant.ml import train as T
 from verdant.operators import clean as C
 from verdant.operators import stats as S
 from verdant.plans import farm as FARM
-from verdant.plans.registry import query, rnd, rounded
+from verdant.plans.registry import DIGITS, query, rnd, rounded
 from verdant.plans.sensors import readings_with_yield, training_windows
 from verdant.sources.adapters import base_table, view, with_views
 
@@ -59,7 +59,22 @@ def q_train_env(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(trained(spark, sf_dir, "environment"))
 
 
-@query("preprocessor")
+_PRE_NUM = ["farm_size_hectares", "fertilizer_kg_per_hectare", "machinery_hours", "transport_distance_km",
+            "energy_consumption_kwh", "carbon_sequestration_potential_kg_co2e", "net_carbon_impact_kg_co2e"]
+_PRE_TRAIN = "substr(md5(CAST(farm_id AS VARCHAR) || '|42'), 1, 8) >= '33333333'"
+_PRE_CATS = {"crop_type": ["Corn", "Cotton", "Potatoes", "Rice", "Soybeans", "Wheat"],
+             "farming_method": ["Conservation", "Conventional", "Organic", "Precision", "Regenerative"]}
+_PRE_SQL = with_views(
+    "SELECT farm_id, [" + ", ".join(
+        [rnd(f"(COALESCE({c}, {c}_med) - {c}_avg) / {c}_sd") for c in _PRE_NUM]
+        + [f"CASE WHEN {c} = '{v}' THEN 1e0 ELSE 0e0 END" for c, vs in _PRE_CATS.items() for v in vs])
+    + "] AS features FROM carbon_m, med, st", *FARM.FARM_VIEWS, extra=FARM.FARM_CTES + [
+        ("med", "SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS {c}_med" for c in _PRE_NUM) + f" FROM carbon_m WHERE {_PRE_TRAIN}"),
+        ("st", "SELECT " + ", ".join(f"avg(COALESCE({c}, {c}_med)) AS {c}_avg, stddev_pop(COALESCE({c}, {c}_med)) AS {c}_sd"
+                                     for c in _PRE_NUM) + f" FROM carbon_m, med WHERE {_PRE_TRAIN}")])
+
+
+@query("preprocessor", _PRE_SQL)
 def q_preprocessor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M9: impute + scale + one-hot + assemble fitted on the train split, applied to every farm."""
     df = M.train_test_split(FARM.carbon_table(spark, sf_dir), "farm_id")
@@ -67,7 +82,8 @@ def q_preprocessor(spark: SparkSession, sf_dir: str) -> DataFrame:
     num = [c for c in C.features_by_exclusion(df, cats, "carbon_footprint_kg_co2e") if c != "farm_id"]
     from pyspark.ml import Pipeline
     model = Pipeline(stages=P.preprocessor(num, cats)).fit(df.filter(F.col("split") == "train"))
-    return model.transform(df).select("farm_id", T.vector_column_to_array("features").alias("features"))
+    out = model.transform(df).select("farm_id", T.vector_column_to_array("features").alias("features"))
+    return out.select("farm_id", F.transform("features", lambda x: F.round(x, DIGITS)).alias("features"))
 
 
 @query("feature_importance", heavy=True)
@@ -101,6 +117,28 @@ def q_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.evaluate(FARM.water_table(spark, sf_dir), res.target, res.model, res.numeric, res.categorical)
 
 
+@query("evaluate_carbon", heavy=True)
+def q_evaluate_carbon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M17 of the stored carbon model over the whole farm table."""
+    res = trained(spark, sf_dir, "carbon")
+    return T.evaluate(FARM.carbon_table(spark, sf_dir), res.target, res.model, res.numeric, res.categorical)
+
+
+@query("evaluate_env", heavy=True)
+def q_evaluate_env(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M17 of the stored impact model over the whole environment table."""
+    res = trained(spark, sf_dir, "environment")
+    return T.evaluate(FARM.env_table(spark, sf_dir), res.target, res.model, res.numeric, res.categorical)
+
+
+@query("train_tabular_classes", heavy=True)
+def q_train_tabular_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M15, classification arm: the farming system from the other environment columns."""
+    df = FARM.env_table(spark, sf_dir).drop("overall_environmental_impact_score")
+    cols = [c for c in df.columns if c != "farming_system"] + ["farming_system"]
+    return T.train_tabular(df.select(*cols), key="env_id", rounds=20).metrics
+
+
 @query("sustainability_report", heavy=True)
 def q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R1 (+ J6, A6): the merged farms scored by the three models; summary table returned."""

@@ -138,6 +138,32 @@ def q_missing_env(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("env_id", *C.IMPACT_DEFAULTS.keys(), "fertilizer_use_kg_per_hectare")
 
 
+@query("missing_defaults_absent", with_views(
+    "SELECT 'carbon' AS kind, farm_id AS id, 1000e0 AS a, 2000e0 AS b FROM farm_carbon"
+    " UNION ALL SELECT 'water', water_id, 25e0, 35e0 FROM farm_water"
+    " UNION ALL SELECT 'environment', env_id, 6e0, 80e0 FROM farm_env", "farm_carbon", "farm_water", "farm_env"))
+def q_missing_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P6, the arms for tables without the column that tells methods apart: one constant for every row."""
+    cases = [("carbon", "farm_carbon", "farm_id", "carbon_sequestration_potential_kg_co2e", "net_carbon_impact_kg_co2e"),
+             ("water", "farm_water", "water_id", "water_efficiency_cubic_meters_per_ton", "water_recycling_potential_percent"),
+             ("environment", "farm_env", "env_id", "soil_health_impact_score", "fertilizer_use_kg_per_hectare")]
+    out = None
+    for kind, name, key, a, b in cases:
+        df = C.with_missing_defaults(view(spark, sf_dir, name).select(key), kind).select(
+            F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(a).alias("a"), F.col(b).alias("b"))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+@query("missing_defaults_fertilizer", with_views(
+    "SELECT env_id, CASE farming_system WHEN 'Regenerative' THEN 30e0 WHEN 'Organic' THEN 50e0 WHEN 'Integrated' THEN 100e0"
+    " WHEN 'Conventional' THEN 150e0 ELSE 80e0 END AS fertilizer_use_kg_per_hectare FROM farm_env", "farm_env"))
+def q_missing_fertilizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P6 (environment): an absent fertilizer column from the farming system."""
+    df = view(spark, sf_dir, "farm_env").drop("fertilizer_use_kg_per_hectare")
+    return C.with_missing_defaults(df, "environment").select("env_id", "fertilizer_use_kg_per_hectare")
+
+
 @query("align_to_features", with_views(
     "SELECT farm_id, CAST(farm_size_hectares AS DOUBLE) AS farm_size_hectares,"
     " CAST(fertilizer_kg_per_hectare AS DOUBLE) AS fertilizer_kg_per_hectare, 0e0 AS annual_rainfall_mm,"

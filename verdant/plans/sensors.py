@@ -50,6 +50,18 @@ def q_ensure_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("event_id", target)
 
 
+@query("ensure_target_arms", sensor_sql(
+    "SELECT event_id, 'yield' AS present, yield AS present_value, 'humidity' AS fallback, humidity AS fallback_value FROM readings_y"))
+def q_ensure_target_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P12, the other arms: a target that is there is kept; without the inputs of a yield the first numeric column is it."""
+    df = readings_with_yield(spark, sf_dir)
+    kept, present = C.ensure_target(df, "yield")
+    rest, fallback = C.ensure_target(df.select("humidity", "rainfall", "event_id"), "yield")
+    both = kept.select("event_id", F.lit(present).alias("present"), F.col(present).alias("present_value"))
+    other = rest.select(F.col("event_id").alias("id"), F.lit(fallback).alias("fallback"), F.col(fallback).alias("fallback_value"))
+    return both.join(other, F.col("event_id") == F.col("id")).drop("id")
+
+
 _SEASON = "sin(2e0 * pi() * dayofyear(event_time) / 365e0)"
 _DAILY = "sin(2e0 * pi() * hour(event_time) / 24e0)"
 
