@@ -6,9 +6,9 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from verdant.llm.common import (SHINGLE_WORDS, SIMILARITY_PERCENT, fit_to_broadcast, follow_leaders, staged,
+from verdant.llm.common import (SHINGLE_WORDS, SIMILARITY_PERCENT, fit_to_broadcast, staged,
                                 whole_text)
 from verdant.llm.components import connected_components
 
@@ -66,40 +66,47 @@ class Hasher:
         return h ^ (h >> np.uint64(32))
 
 
-DIGEST_PLACES = np.array([-1, -2])
-
-
 def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def _frequencies(frames):
+READ = "doc_id long, n long, d1 long, d2 long, bucket int"
+
+
+def _read(frames):
+    """For each document its set's size and digest; for the task the counts (n) of the sketch's buckets."""
     hasher, count, held, size = Hasher(), np.zeros(1 << SKETCH_BITS, np.int64), [], 0
     for pdf in frames:
-        for text in pdf["text"]:
-            held.append(_bucket(hasher.shingles(text)))
-            size += len(held[-1])
+        rows = []
+        for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+            h = np.unique(hasher.shingles(text))
+            d1, d2 = np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), np.int64)
+            rows.append((doc_id, len(h), d1, d2, -1))
+            held.append(_bucket(h))
+            size += len(h)
             if size > FLUSH:
                 count += np.bincount(np.concatenate(held), minlength=len(count))
                 held, size = [], 0
+        yield pd.DataFrame(rows, columns=["doc_id", "n", "d1", "d2", "bucket"])
     if held:
         count += np.bincount(np.concatenate(held), minlength=len(count))
     at = np.flatnonzero(count)
-    yield pd.DataFrame({"bucket": at, "n": count[at]})
+    yield pd.DataFrame({"doc_id": 0, "n": count[at], "d1": 0, "d2": 0, "bucket": at})
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
-    """How often the shingles of each bucket of the sketch occur in all texts.
+def read_sets(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, n, d1, d2) for each row of ``docs``: size and 128-bit digest of its shingle set; and how many
+    sets each bucket of the sketch occurs in.
 
-    One counter for each of 2 ** SKETCH_BITS buckets, whatever the input; a shingle that many documents
-    share lifts its bucket above the others. The counts only order the shingles: any one order gives the
-    same links, a rare-first one the fewest candidates.
+    The sketch is one counter for each of 2 ** SKETCH_BITS buckets, whatever the input; a shingle that many
+    documents share lifts its bucket above the others. The counts only order the shingles: any one order
+    gives the same links, a rare-first one the fewest candidates.
     """
-    counted = docs.select("text").mapInPandas(_frequencies, "bucket long, n long")
-    table = counted.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    out[table["bucket"].to_numpy(np.int64)] = table["n"].to_numpy(np.int64)
-    return out
+    read = staged(docs.mapInPandas(_read, READ), "shingle-sets")
+    table = read.where("bucket >= 0").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    order = np.zeros(1 << SKETCH_BITS, np.int64)
+    order[table["bucket"].to_numpy(np.int64)] = table["n"].to_numpy(np.int64)
+    return read.where("bucket < 0").drop("bucket"), order
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -109,27 +116,23 @@ def prefix_length(n: int, percent: int) -> int:
 
 def prefixes(docs: DataFrame, order: np.ndarray, percent: int) -> DataFrame:
     """(token, doc_id, pos, n): the rarest shingles of each document, with their places in its order and the
-    size of its set; and for each document two rows of place -1 and -2 whose tokens are its set's digest."""
+    size of its set."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def cut(frames):
         hasher, count = Hasher(), shared.value
         for pdf in frames:
-            tokens, ids, places, sizes = [], [], [], []
+            tokens, ids, places, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                 h = np.unique(hasher.shingles(text))
-                n = len(h)
-                keep = prefix_length(n, percent) if n else 0
+                keep = prefix_length(len(h), percent) if len(h) else 0
                 # h is in order, so a stable sort by count settles ties by hash
-                rare = h[np.argsort(count[_bucket(h)], kind="stable")[:keep]]
-                digest = np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), np.int64)
-                tokens += [rare.view(np.int64), digest]
-                ids.append(np.full(keep + 2, doc_id))
-                places += [np.arange(keep), DIGEST_PLACES]
-                sizes.append(np.full(keep + 2, n))
-            if ids:
-                yield pd.DataFrame({"token": np.concatenate(tokens), "doc_id": np.concatenate(ids),
-                                    "pos": np.concatenate(places), "n": np.concatenate(sizes)})
+                tokens.append(h[np.argsort(count[_bucket(h)], kind="stable")[:keep]].view(np.int64))
+                ids.append(np.full(keep, doc_id))
+                places.append(np.arange(keep))
+                sizes.append(np.full(keep, len(h)))
+            yield pd.DataFrame({"token": np.concatenate(tokens), "doc_id": np.concatenate(ids),
+                                "pos": np.concatenate(places), "n": np.concatenate(sizes)})
 
     return docs.mapInPandas(cut, "token long, doc_id long, pos int, n int")
 
@@ -166,6 +169,21 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def plausible(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """The (u, v) of ``pairs`` whose prefixes share enough. ``tokens``: (id, n, ts), the shared prefix tokens.
+
+    In the one order of shingles, what two sets share lies in both prefixes or, beyond the prefix that ends
+    first, among that set's remaining shingles; so the overlap is at most the tokens that the prefixes share
+    and the longer remainder.
+    """
+    a = tokens.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("ts").alias("t1"))
+    b = tokens.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("ts").alias("t2"))
+    rest = F.ceil(F.greatest("n1", "n2") * F.lit(percent) / F.lit(100)) - 1
+    most = F.size(F.array_intersect("t1", "t2")) + rest
+    both = pairs.join(a, F.col("u") == F.col("a")).join(b, F.col("v") == F.col("b"))
+    return both.where(most * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent).select("u", "v")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The (u, v) of ``pairs`` (distinct, staged) whose texts are similar.
 
@@ -174,14 +192,11 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     a task holds one set at a time. Documents without a pair never move.
     """
     many = pairs.groupBy(F.col("u").alias("w")).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(PARTNERS))).alias("parts"))
-    pairs = staged(pairs.join(many, F.col("u") == F.col("w"))
-                   .select("u", "v", F.pmod(F.xxhash64("v"), F.col("parts")).alias("part")), "pairs")
-    ids = staged(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "pair-ids")
-    texts = docs.join(fit_to_broadcast(ids, BROADCAST_ROWS), F.col("doc_id") == F.col("id"), "left_semi")
-    first = pairs.select("u", "part", F.col("u").alias("id")).distinct()
-    second = pairs.select("u", "part", F.col("v").alias("id"))
-    texts = staged(texts.select("doc_id", "text"), "pair-texts")
-    leaders, partners = (x.join(texts, F.col("id") == F.col("doc_id")).select("u", "part", "id", "text") for x in (first, second))
+    parted = pairs.join(many, F.col("u") == F.col("w")).select("u", "v", F.pmod(F.xxhash64("v"), F.col("parts")).alias("part"))
+    goes = parted.select("u", "part", F.col("v").alias("id"), F.lit(1).alias("role")).unionByName(
+        parted.select("u", "part", F.col("u").alias("id"), F.lit(0).alias("role")).distinct())
+    goes = staged(goes, "pair-places")
+    dealt = docs.join(fit_to_broadcast(goes, BROADCAST_ROWS), F.col("doc_id") == F.col("id")).select("u", "part", "id", "role", "text")
 
     def check(frames):
         hasher, key, sets = Hasher(), None, []
@@ -198,7 +213,8 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                     vs.append(v)
             yield pd.DataFrame({"u": us, "v": vs}, dtype="int64")
 
-    return follow_leaders(leaders, partners, ["u", "part"], check, "u long, v long").distinct()
+    dealt = dealt.repartition("u", "part").sortWithinPartitions("u", "part", "role")
+    return dealt.mapInPandas(check, "u long, v long").distinct()
 
 
 def join_components(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
@@ -206,8 +222,8 @@ def join_components(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataF
 
     Two documents link when the Jaccard similarity of their distinct five-word shingles is at least
     ``percent`` per cent; component_id is the least doc_id reachable by links. Candidates are documents that
-    share a prefix shingle and pass the length and positional filters; a pair is verified on the whole
-    sets once. Verification goes in two steps that skip what is already settled: in each group of documents
+    share a prefix shingle and pass the length and positional filters and the bound by their whole
+    prefixes; a pair is verified on the whole sets once, after the suffix filter. Verification goes in two steps that skip what is already settled: in each group of documents
     with one prefix shingle, first all of them against the one where that shingle stands foremost (the
     least edited of a group of near copies); then every pair that still lies in different components. So
     a group of many near copies costs its size, not its square, and no link between components is lost.
@@ -220,54 +236,53 @@ def join_components(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataF
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     rows = docs.where("doc_id is not null")
-    order = rarity(rows)
-    cut = staged(prefixes(rows, order, percent), "prefixes")
+    read, order = read_sets(rows)
 
     # documents of one set: the least doc_id stands for all of them
-    digest = [F.max(F.when(F.col("pos") == p, F.col("token"))).alias(f"d{-p}") for p in (-1, -2)]
-    heads = (cut.where("pos < 0").groupBy("doc_id")
-             .agg(*digest, F.max("n").cast("long").alias("n_shingles"), F.sum(F.when(F.col("pos") == -1, 1)).alias("rows")))
-    heads = staged(heads, "sets")
-    sets = heads.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    named = heads.join(sets.withColumnsRenamed({"d1": "s1", "d2": "s2"}), (F.col("d1") == F.col("s1")) & (F.col("d2") == F.col("s2")), "left")
-    named = staged(named.select("doc_id", "n_shingles", "rows", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("rep")), "doc_id").alias("rep")), "sets")
-
-    # groups of documents with one prefix shingle, and each group's hub: the least is where it stands foremost
-    tokens = cut.where("pos >= 0")
-    groups = tokens.groupBy(F.col("token").alias("t")).agg(
-        F.min(F.struct("pos", "n", "doc_id")).alias("h"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    groups = groups.where("most > least").select("t", F.col("h.doc_id").alias("hub"), F.col("h.n").alias("n2"), F.col("h.pos").alias("pos2"))
-    reps = named.where("rep = doc_id").select(F.col("doc_id").alias("rep"))
-    members = (tokens.join(groups, F.col("token") == F.col("t"))
-               .join(reps, F.col("doc_id") == F.col("rep"), "left_semi")
-               .select("token", "doc_id", "pos", "n", "hub", "n2", "pos2"))
-    members = staged(members, "members")
+    heads = staged(read.groupBy("doc_id").agg(F.max("d1").alias("d1"), F.max("d2").alias("d2"), F.max("n").alias("n_shingles"),
+                                              F.count(F.lit(1)).alias("rows")), "sets")
+    sets = heads.where("n_shingles > 0").groupBy(F.col("d1").alias("s1"), F.col("d2").alias("s2")).agg(F.min("doc_id").alias("rep"))
+    same = heads.where("n_shingles > 0").join(sets, (F.col("d1") == F.col("s1")) & (F.col("d2") == F.col("s2"))).where("rep < doc_id")
+    copies = fit_to_broadcast(staged(same.select(F.col("doc_id").alias("copy"), "rep"), "copies"), BROADCAST_ROWS)
+    reps = rows.join(copies.select("copy"), F.col("doc_id") == F.col("copy"), "left_anti")
+
+    # groups of documents with one prefix shingle; a group's hub is the document where it stands foremost
+    group = Window.partitionBy("token").orderBy("pos", "n", "doc_id")
+    first = {name: F.first(col).over(group) for name, col in (("hub", "doc_id"), ("n2", "n"), ("pos2", "pos"))}
+    last = F.lead("doc_id").over(group).isNull()
+    members = prefixes(reps, order, percent).withColumns(first | {"last": last})
+    members = staged(members.where("doc_id <> hub or not last").drop("last"), "members")
+    tokens = staged(members.groupBy(F.col("doc_id").alias("id")).agg(
+        F.first("n").cast("long").alias("n"), F.collect_set("token").alias("ts")), "prefix-tokens")
 
     to_hub = staged(members.where((F.col("doc_id") != F.col("hub")) & _promising(percent))
                     .select(F.col("hub").alias("u"), F.col("doc_id").alias("v")).distinct(), "hub-pairs")
-    links = staged(verify(to_hub, rows, percent), "links")
-    labels = staged(connected_components(links), "labels")
+    links = staged(verify(staged(plausible(to_hub, tokens, percent), "hub-pairs"), rows, percent), "links")
+    labels = fit_to_broadcast(staged(connected_components(links), "labels"), BROADCAST_ROWS)
 
     # what is left: pairs of one group whose ends still lie in different components
     side = (members.where("doc_id <> hub").join(labels, F.col("doc_id") == F.col("node"), "left")
             .select("token", "doc_id", "pos", "n", F.coalesce("component", "doc_id").alias("c")))
-    mixed = side.groupBy(F.col("token").alias("t")).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-    side = staged(side.join(mixed, F.col("token") == F.col("t"), "left_semi"), "open-groups")
+    whole = Window.partitionBy("token")
+    side = side.withColumns({"lo": F.min("c").over(whole), "hi": F.max("c").over(whole)}).where("lo <> hi").drop("lo", "hi")
+    side = staged(side, "open-groups")
     other = side.select(F.col("token").alias("t2"), F.col("doc_id").alias("v"), F.col("pos").alias("pos2"),
                         F.col("n").alias("n2"), F.col("c").alias("c2"))
     met = (F.col("token") == F.col("t2")) & (F.col("doc_id") < F.col("v")) & (F.col("c") != F.col("c2")) & _promising(percent)
     cross = side.join(other, met).select(F.col("doc_id").alias("u"), "v").distinct()
     done = to_hub.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
     cross = staged(cross.join(done, (F.col("u") == F.col("a")) & (F.col("v") == F.col("b")), "left_anti"), "open-pairs")
-    more = staged(verify(cross, rows, percent), "links")
+    more = staged(verify(staged(plausible(cross, tokens, percent), "open-pairs"), rows, percent), "links")
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more))
 
+    named = heads.join(copies, F.col("doc_id") == F.col("copy"), "left").select(
+        "doc_id", "n_shingles", "rows", F.coalesce("rep", "doc_id").alias("rep"))
     found = named.join(labels, F.col("rep") == F.col("node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"),
         F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))).alias("one")).drop("one")
-    nameless = prefixes(docs.where("doc_id is null").withColumn("doc_id", F.lit(0).cast("long")), order, percent).where("pos = -1")
-    return found.unionByName(nameless.select(F.lit(None).cast("long").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"),
+    nameless = docs.where("doc_id is null").withColumn("doc_id", F.lit(0).cast("long")).mapInPandas(_read, READ).where("bucket < 0")
+    return found.unionByName(nameless.select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"),
                                              F.lit(None).cast("long").alias("component_id")))
 
 
