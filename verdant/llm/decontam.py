@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from verdant.llm.common import (SHINGLE_WORDS, SIMILARITY_PERCENT, WORD_BREAK, ascii_lower, fit_to_broadcast, staged,
+from verdant.llm.common import (BLANKS, SHINGLE_WORDS, SIMILARITY_PERCENT, WORD_BREAK, ascii_lower, fit_to_broadcast, staged,
                                 whole_text)
 
 # Finer bins for shorter items: (least number of shingles an item must share, further bits). A shared
@@ -27,8 +27,8 @@ def _once(value: Column, body) -> Column:
 
 
 def words(text: Column) -> Column:
-    """The words of a text, A-Z lower-cased."""
-    return F.filter(F.split(ascii_lower(text), WORD_BREAK), lambda w: w != "")
+    """The words of a text, A-Z lower-cased; one empty word without any."""
+    return F.split(F.btrim(ascii_lower(text), F.lit(BLANKS)), WORD_BREAK)
 
 
 def _windows(words: Column, of) -> Column:
@@ -36,7 +36,8 @@ def _windows(words: Column, of) -> Column:
     n = F.size(words)
     runs = F.transform(F.sequence(F.lit(0), n - SHINGLE_WORDS),
                        lambda i: of([F.get(words, i + k) for k in range(SHINGLE_WORDS)]))
-    return F.when(n >= SHINGLE_WORDS, runs).when(n > 0, F.array(of([F.get(words, F.lit(k)) for k in range(SHINGLE_WORDS - 1)])))
+    some = (n > 1) | (F.get(words, F.lit(0)) != "")
+    return F.when(n >= SHINGLE_WORDS, runs).when(some, F.array(of([F.get(words, F.lit(k)) for k in range(SHINGLE_WORDS - 1)])))
 
 
 def shingle_hashes(text: Column) -> Column:
@@ -58,6 +59,13 @@ def _bits_needed(hashes: Column) -> Column:
     return F.transform(hashes, one)
 
 
+def _least_of_bins(hashes: Column, bits: Column) -> Column:
+    """The hashes that are the least of their bins, when the leading ``bits`` bits name the bin."""
+    shift = F.greatest(64 - bits, F.lit(0)).cast("int")
+    return F.filter(hashes, lambda h, i: (i == 0) | (
+        F.call_function("shiftright", h, shift) != F.call_function("shiftright", F.get(hashes, i - 1), shift)))
+
+
 def needed(n: Column, percent: int) -> Column:
     """The number of an item's n shingles that make ``percent`` of them."""
     return F.ceil(n * percent / F.lit(100)).cast("long")
@@ -83,11 +91,9 @@ def candidates(docs: DataFrame, items: DataFrame, percent: int = SIMILARITY_PERC
     rows = docs.select("doc_id", shingle_hashes(whole_text()).alias("hs")).where("hs is not null")
     # a document of up to 2 ** c shingles has 2 ** (c - 1) bins
     own = F.length(F.bin(F.size("hs") - 1)) - 1
-    rows = rows.select("doc_id", own.alias("own"), F.explode(F.filter(
-        _bits_needed(F.col("hs")), lambda s: s["bits"] <= own + finest)).alias("s"))
-    sketch = rows.select("doc_id", "own", F.col("s.h").alias("doc_h"), F.col("s.bits").alias("doc_bits"))
-    meet = (F.col("doc_h") == F.col("h")) & (F.col("doc_bits") <= F.col("own") + F.col("finer")) & (
-        F.col("bits") <= F.col("own") + F.col("finer"))
+    rows = rows.select("doc_id", "hs", (own + finest).alias("bin_bits"))
+    sketch = rows.select("doc_id", "bin_bits", F.explode(_least_of_bins(F.col("hs"), F.col("bin_bits"))).alias("doc_h"))
+    meet = (F.col("doc_h") == F.col("h")) & (F.col("bits") <= F.col("bin_bits"))
     return sketch.join(item, meet).select("doc_id", "item_id").distinct()
 
 
