@@ -20,7 +20,7 @@ from verdant.ml import features as M
 from verdant.ml import stages as P
 from verdant.operators import clean as C
 from verdant.operators import stats as S
-from verdant.session import checkpoint_dir
+from verdant.session import shared_dir
 from verdant.sources.tables import path_exists, save_metadata
 
 CV_FOLDS = 5
