@@ -79,6 +79,24 @@ def test_url_filter(spark):
     assert url_filter.judge(df.limit(0)).collect() == []
 
 
+def test_url_filter_judges_link_targets_that_are_no_rows(spark):
+    link, refresh = '<link rel="canonical" href="%s">', "<meta http-equiv='refresh' content='0; url=%s'>"
+    pages = [
+        (1, "http://a.org/1", link % "http://x.net/fr/9"), (2, "http://a.org/2", refresh % "http://example.com/en/"),
+        (3, "http://a.org/3", link % "http://x.net/other"),
+        # two aliases of one blocked and one allowed page, of which neither is a row
+        (4, "http://b.org/1", link % "http://x.net/fr/8"), (5, "http://b.org/1?x", link % "http://x.net/fr/8"),
+        (6, "http://b.org/1", refresh % "http://ok.com/"),
+        # a target that has the page's key but, unlike the page, a rule
+        (7, "http://y.net/es", link % "/es/"), (8, "http://c.org/", link % "http://c.org/")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(df).collect()}
+    assert got == {i: (None, "block" if i in (1, 2, 7) else "allow") for i in range(1, 9)}
+    links = spark.createDataFrame([("a.org/1", "x.net/fr/9?q"), ("z.net/es/1", "a.org/2")], "u string, v string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(df, links=links).collect()}
+    assert got == {i: "block" if i in (1, 2) else "allow" for i in range(1, 9)}
+
+
 def brute_leaks(docs, items):
     out = set()
     for i, it in items:

@@ -63,8 +63,9 @@ def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
                                                                     F.col("b.v").alias("rule_verdict"))
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """(u, v) page keys of the redirect and canonical-link edges in the pages' HTML.
+def page_targets(pages: DataFrame) -> DataFrame:
+    """(u, v, host, path) of the redirect and canonical links in the pages' HTML: the page keys of both ends
+    and the target's host and path, which the key does not tell exactly.
 
     A target without a scheme is read against the page's own address.
     """
@@ -81,7 +82,15 @@ def page_links(pages: DataFrame) -> DataFrame:
               .otherwise(F.concat(base, F.when(folder == "", "/").otherwise(folder), to)))
     rows = rows.withColumn("target", target).where((host(url) != "") & (host(F.col("target")) != ""))
     t = F.col("target")
-    return rows.select(page_key(host(url), path(url), url).alias("u"), page_key(host(t), path(t), t).alias("v")).where("u <> v")
+    return rows.select(page_key(host(url), path(url), url).alias("u"), page_key(host(t), path(t), t).alias("v"),
+                       host(t).alias("host"), path(t).alias("path"))
+
+
+def key_ends(links: DataFrame) -> DataFrame:
+    """(v, host, path) of both ends of the edges (u, v), read from the page keys themselves."""
+    ends = links.select(F.explode(F.array("u", "v")).alias("v")).where("v is not null").distinct()
+    return ends.select("v", F.regexp_extract("v", r"^[^/?]*", 0).alias("host"),
+                       F.regexp_extract("v", r"(?s)^[^/?]*([^?]*)", 1).alias("path"))
 
 
 def judge(pages: DataFrame, rules: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
@@ -91,7 +100,7 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, links: DataFrame | N
     default the fixed rules and the edges in the pages' HTML. A page that a rule fits has the rule's
     verdict. Pages with one key, or joined by edges in either direction, are one component; a page
     without a rule is blocked if a rule blocks a page of its component and none explicitly allows one,
-    else allowed. Null or malformed urls have empty host and path, no rule, and stand alone, allowed.
+    else allowed. A link's end counts as a page of its component whether or not it is a row. Null or malformed urls have empty host and path, no rule, and stand alone, allowed.
     Repeated rows get equal answers; other columns are not looked at.
     """
     spark = pages.sparkSession
@@ -100,7 +109,10 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, links: DataFrame | N
                                             F.lit(v).alias("rule_verdict")) for h, p, v in RULES]))
         rules = spark.range(1).select(table)
     if links is None:
-        links = page_links(pages)
+        ends = staged(page_targets(pages), "url-targets")
+        links = ends.select("u", "v").where("u <> v")
+    else:
+        ends = key_ends(links)
     url = F.col("url")
     rows = pages.select(F.col("page_id"), host(url).alias("host"), path(url).alias("path"), url)
     rows = rows.select("page_id", "host", "path", F.when(F.col("host") != "", page_key(F.col("host"), F.col("path"), url)).alias("page"))
@@ -108,7 +120,12 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, links: DataFrame | N
     rows = staged(rows.join(fitted, (F.col("host") == F.col("r_host")) & (F.col("path") == F.col("r_path")), "left")
                   .select("page_id", "host", "path", "page", "rule", "rule_verdict"), "url-pages")
     groups = connected_components(links, "url-links")
-    places = rows.where("page is not null").groupBy("page").agg(
+    # what the rules say of link ends, which need not be rows
+    ends = ends.select(F.col("v").alias("page"), F.col("host").alias("e_host"), F.col("path").alias("e_path")).distinct()
+    fits = match_rules(ends.select(F.col("e_host").alias("host"), F.col("e_path").alias("path")), rules)
+    ends = ends.join(fits, (F.col("e_host") == F.col("host")) & (F.col("e_path") == F.col("path")))
+    places = rows.where("page is not null").select("page", "rule_verdict").unionByName(ends.select("page", "rule_verdict"))
+    places = places.groupBy("page").agg(
         F.max(F.col("rule_verdict") == "block").alias("block"), F.max(F.col("rule_verdict") == "allow").alias("allow"))
     places = places.join(groups, F.col("page") == F.col("node"), "left").select(
         "page", F.coalesce("component", "page").alias("component"), "block", "allow")
