@@ -49,6 +49,44 @@ def test_train_predict_save_load(spark, tmp_path):
     assert not any(r.is_default for r in a)
 
 
+def test_training_fits_anew_and_scoring_checks_rows_and_settings(spark, tmp_path, monkeypatch):
+    from verdant.plans import models
+    df = FARM.water_table(spark, SF).persist()
+    tables, fits, fit = {"now": df}, [], T.train_sustainability
+
+    def small(table, kind, **settings):
+        fits.append(table.count())
+        return fit(table, kind, num_trees=2, rounds=2, **settings)
+
+    monkeypatch.setattr(T, "train_sustainability", small)
+    monkeypatch.setitem(models.TABLES, "water", lambda spark, sf_dir: tables["now"])
+    n, source = df.count(), str(tmp_path)
+    models.q_train_water(spark, source).collect()
+    models._TRAINED.clear()  # as in a new session
+    models.q_train_water(spark, source).collect()
+    assert fits == [n, n]  # training trains, whatever is saved
+    models._TRAINED.clear()
+    tables["now"] = df.repartition(3)
+    assert models.trained(spark, source, "water").numeric and fits == [n, n]  # the same rows: reloaded
+    tables["now"] = df.limit(n - 10).persist()
+    models.trained(spark, source, "water")
+    assert fits == [n, n, n - 10]  # other rows, in the session that holds the old model
+    models._TRAINED.clear()
+    tables["now"] = tables["now"].withColumn("annual_rainfall_mm", F.col("annual_rainfall_mm") + 1)
+    models.trained(spark, source, "water")
+    assert fits == [n, n, n - 10, n - 10]  # as many rows with another value
+    models._TRAINED.clear()
+    forest = P.random_forest
+    monkeypatch.setattr(P, "random_forest", lambda *a, **k: forest(*a, **{**k, "max_depth": 4}))
+    models.trained(spark, source, "water")
+    assert len(fits) == 5  # another setting
+    path = T.model_path(spark, "water", source)
+    mark = T.fingerprint(tables["now"], "water")
+    assert T.load_result(spark, path, mark) is not None
+    fit(tables["now"], "water", num_trees=2, rounds=2).model.write().overwrite().save(path)
+    assert T.load_result(spark, path, mark) is None  # a model beside another one's metadata
+
+
 def test_predict_without_model_uses_default(spark):
     df = spark.createDataFrame([(1,)], "farm_id int")
     r = T.predict(df, "water", None, keep=["farm_id"]).first()

@@ -106,6 +106,7 @@ def train_select(df: DataFrame, target: str, key: str, numeric: list[str], categ
 
 # --- the three sustainability models (M13, M14) ---------------------------------------------------
 
+NOT_SETTINGS = {"maxMemoryInMB", "cacheNodeIds", "checkpointInterval"}  # of a fit: these change its cost, not its result
 LEAKY = {"carbon": ["carbon_sequestration_potential_kg_co2e", "net_carbon_impact_kg_co2e"],
          "water": ["water_efficiency_cubic_meters_per_ton"],
          "environment": ["biodiversity_impact_score", "soil_health_impact_score", "water_quality_impact_score",
@@ -120,6 +121,23 @@ MODEL_SPECS = {
 }
 
 
+def sustainability_candidates(kind: str, num_trees: int = 100, rounds: int = 100) -> dict:
+    target = MODEL_SPECS[kind]["target"]
+    return {"Random Forest": P.random_forest(target, MODEL_SPECS[kind]["rf_leaf"], num_trees),
+            "Gradient Boosting": P.gradient_boosting(target, rounds)}
+
+
+def fingerprint(df: DataFrame, kind: str, **settings) -> str:
+    """What a sustainability model depends on: the rows of its table (their number and an order-free sum of
+    hashes), its columns, and the settings of the fits. One aggregate over the table."""
+    row = df.agg(F.count(F.lit(1)).alias("n"),
+                 F.sum(F.xxhash64(*[F.col(c) for c in df.columns]).cast("decimal(38,0)")).alias("h")).first()
+    fits = {name: sorted((p.name, str(v)) for p, v in est.extractParamMap().items() if p.name not in NOT_SETTINGS)
+            for name, est in sustainability_candidates(kind, **settings).items()}
+    mark = [row.n, str(row.h), df.dtypes, sorted(MODEL_SPECS[kind].items()), CV_FOLDS, fits]
+    return hashlib.md5(json.dumps(mark).encode()).hexdigest()
+
+
 def train_sustainability(df: DataFrame, kind: str, drop_leaky: bool = False, num_trees: int = 100,
                          rounds: int = 100) -> TrainResult:
     """M13 (carbon: select on CV RMSE) and M14 (water, environment: select on test RMSE).
@@ -132,8 +150,7 @@ def train_sustainability(df: DataFrame, kind: str, drop_leaky: bool = False, num
     numeric = [c for c in C.features_by_exclusion(df, cats, target) if c != key]
     if drop_leaky:
         numeric = [c for c in numeric if c not in LEAKY[kind]]
-    cands = {"Random Forest": P.random_forest(target, spec["rf_leaf"], num_trees),
-             "Gradient Boosting": P.gradient_boosting(target, rounds)}
+    cands = sustainability_candidates(kind, num_trees, rounds)
     return train_select(df.select(key, *numeric, *cats, target), target, key, numeric, cats, cands,
                         spec["select_on"], spec["dummies"])
 
@@ -315,13 +332,13 @@ def model_path(spark: SparkSession, kind: str, source: str) -> str:
     return os.path.join(shared_dir(spark), "models", f"{kind}-{tag}")
 
 
-def save_model(result: TrainResult, path: str) -> str:
-    """S10 + S11: PipelineModel, its feature lists and metrics."""
+def save_model(result: TrainResult, path: str, mark: str = "") -> str:
+    """S10 + S11: PipelineModel, its feature lists and metrics, and the ``mark`` of what it was fitted on."""
     spark = result.metrics.sparkSession
     result.metrics.coalesce(1).write.mode("overwrite").parquet(path + "_metrics")
     save_metadata(spark, path + "_meta", result.target, result.extra.get("task", "regression"),
-                  {"numeric": result.numeric, "categorical": result.categorical, **{
-                      k: v for k, v in result.extra.items() if isinstance(v, (str, int, float))}})
+                  {**{k: v for k, v in result.extra.items() if isinstance(v, (str, int, float))},
+                   "numeric": result.numeric, "categorical": result.categorical, "fingerprint": mark, "uid": result.model.uid})
     result.model.write().overwrite().save(path)  # last: a model that is there is complete
     return path
 
@@ -331,14 +348,17 @@ def load_model(spark: SparkSession, path: str) -> PipelineModel | None:
     return PipelineModel.load(path) if path_exists(spark, os.path.join(path, "metadata")) else None
 
 
-def load_result(spark: SparkSession, path: str) -> TrainResult | None:
-    """S10 + S11: everything ``predict`` needs (model, feature lists, target, metrics), or None."""
+def load_result(spark: SparkSession, path: str, mark: str = "") -> TrainResult | None:
+    """S10 + S11: everything ``predict`` needs (model, feature lists, target, metrics), or None if there is no
+    model with this ``mark``. The model's uid tells whether model and metadata were saved together."""
     model = load_model(spark, path)
     if model is None:
         return None
     meta = spark.read.schema("target_column string, task_type string, params map<string,string>").json(path + "_meta").first()
     params = {k: json.loads(v) for k, v in meta.params.items()}
     numeric, categorical = params.pop("numeric"), params.pop("categorical")
+    if (params.pop("fingerprint", None), params.pop("uid", None)) != (mark, model.uid):
+        return None
     return TrainResult(model, spark.read.parquet(path + "_metrics"), numeric, categorical, meta.target_column,
                        {**params, "task": meta.task_type})
 
