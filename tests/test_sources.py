@@ -42,6 +42,24 @@ def test_read_dir_skips_and_names_by_stem(spark):
         pass
 
 
+def test_read_dir_reads_a_folder_of_part_files_as_one_table(spark):
+    d = _dir("parts")
+    spark.range(100).repartition(4).write.option("header", True).csv(os.path.join(d, "alpha.csv"))
+    _csv(os.path.join(d, "beta.csv"), "c\nx\n")
+    assert {n: t.count() for n, t in TB.read_dir(spark, d).items()} == {"alpha": 100, "beta": 1}
+
+
+def test_directory_queries_write_in_parallel(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+    from verdant.plans import files
+    one = []
+    for cls in {DataFrame, type(spark.range(0))}:
+        monkeypatch.setattr(cls, "coalesce", lambda self, n: one.append(n) or self)
+    files.q_read_dir(spark, "/root/testdata/sf0.001")
+    files.q_read_dir_concat(spark, "/root/testdata/sf0.001")
+    assert not one
+
+
 def test_read_dir_concat_aligns_headers_and_sorts(spark):
     d = _dir("concat")
     _csv(os.path.join(d, "a.csv"), "timestamp,temperature\n2024-01-02 00:00:00,1.5\n")

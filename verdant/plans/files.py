@@ -94,16 +94,16 @@ SENSOR_TYPES = {"event_id": "bigint", "station_id": "bigint", "temperature": "do
 @query("read_dir_concat", with_views("SELECT * FROM sensor_readings", "sensor_readings"))
 def q_read_dir_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S3: one folder of CSV files whose headers differ (column order), appended by name,
-    timestamp parsed, sorted. The readings are written as two files (older / newer half)."""
+    timestamp parsed, sorted. The older and the newer half are written as part files of one header each."""
     from verdant.session import scratch_path
     from verdant.sources.tables import read_dir_concat
     r = view(spark, sf_dir, "sensor_readings")
     folder = scratch_path(spark, "csv-history")
     cut = r.agg(F.percentile_approx("event_id", 0.5)).first()[0]
     fmt = {"header": True, "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
-    r.filter(F.col("event_id") <= cut).coalesce(1).write.options(**fmt).csv(folder)
+    r.filter(F.col("event_id") <= cut).write.options(**fmt).csv(folder)
     (r.filter(F.col("event_id") > cut).select(*reversed(r.columns))  # same fields, other header order
-      .coalesce(1).write.mode("append").options(**fmt).csv(folder))
+      .write.mode("append").options(**fmt).csv(folder))
     df = read_dir_concat(spark, folder, ts="event_time", tie="event_id")
     return df.select(*[F.col(c).cast(SENSOR_TYPES.get(c, "timestamp")).alias(c) for c in r.columns])
 
@@ -112,22 +112,14 @@ def q_read_dir_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT 'farm_carbon' AS table_name, count(*) AS n_rows, 8 AS n_columns FROM farm_carbon"
     " UNION ALL SELECT 'farm_water', count(*), 8 FROM farm_water", "farm_carbon", "farm_water"))
 def q_read_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every CSV of a folder as a table named by its stem (two views written as CSV files)."""
+    """Every CSV of a folder as a table named by its stem (two views written as CSV folders)."""
     import os
 
     from verdant.session import scratch_path
-    from verdant.sources.tables import list_files, read_dir
-    folder, staging = scratch_path(spark, "csv-dir"), scratch_path(spark, "csv-staging")
-    for name in ("farm_carbon", "farm_water"):
-        view(spark, sf_dir, name).coalesce(1).write.option("header", True).csv(os.path.join(staging, name))
-        # one file per table, named by the table: the folder layout the reference reads
-        part = list_files(spark, os.path.join(staging, name))[0]
-        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        src = fs_path(part)
-        fs = src.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        fs.mkdirs(fs_path(folder))
-        spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(
-            fs, src, fs, fs_path(os.path.join(folder, f"{name}.csv")), False, spark.sparkContext._jsc.hadoopConfiguration())
+    from verdant.sources.tables import read_dir
+    folder = scratch_path(spark, "csv-dir")
+    for name in ("farm_carbon", "farm_water"):  # a folder of part files per table, named by the table
+        view(spark, sf_dir, name).write.option("header", True).csv(os.path.join(folder, f"{name}.csv"))
     tables = read_dir(spark, folder)
     rows = [(n, t.count(), len(t.columns)) for n, t in sorted(tables.items())]
     return spark.createDataFrame(rows, "table_name string, n_rows bigint, n_columns int")

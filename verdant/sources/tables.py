@@ -21,13 +21,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def list_files(spark: SparkSession, directory: str, suffix: str = ".csv") -> list[str]:
-    """File paths (not contents) directly under ``directory`` with the suffix, sorted."""
+def list_files(spark: SparkSession, directory: str, suffix: str = ".csv", folders: bool = False) -> list[str]:
+    """File paths (not contents) directly under ``directory`` with the suffix, sorted; with ``folders`` also
+    the folders so named, each a table of part files."""
     fs, p = _fs(spark, directory)
     if not fs.exists(p):
         return []
     return sorted(str(s.getPath().toString()) for s in fs.listStatus(p)
-                  if s.isFile() and s.getPath().getName().lower().endswith(suffix))
+                  if (folders or s.isFile()) and s.getPath().getName().lower().endswith(suffix))
 
 
 def read_table(spark: SparkSession, path: str, schema=None, fmt: str | None = None,
@@ -48,12 +49,12 @@ def read_table(spark: SparkSession, path: str, schema=None, fmt: str | None = No
 
 
 def read_dir(spark: SparkSession, directory: str, strict: bool = False) -> dict[str, DataFrame]:
-    """Every ``*.csv`` in a directory as a table named by its stem; unreadable ones skipped
-    (``strict``: raised).
+    """Every ``*.csv`` in a directory, a file or a folder of part files, as a table named by its stem;
+    unreadable ones skipped (``strict``: raised).
 
     Raises ``FileNotFoundError`` when there is no CSV at all.
     """
-    files = list_files(spark, directory)
+    files = list_files(spark, directory, folders=True)
     if not files:
         raise FileNotFoundError(f"no CSV files in {directory}")
     out = {}
