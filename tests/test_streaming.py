@@ -111,6 +111,20 @@ def test_count_trigger_flushes_exactly(spark):
     assert set(sizes) == {100}
 
 
+def test_count_trigger_numbers_rows_without_python_state(spark):
+    rows = [(None if k == "x" else int(k), i) for i, k in enumerate("0" * 25 + "1" * 9 + "x" * 11)]
+    base, fired = _dir("rest"), []
+    trigger = ST.count_trigger(spark.createDataFrame(rows, "key long, event_id long"), "key", 10)
+    out, left = os.path.join(base, "o"), os.path.join(base, "l")
+    for batch_id, part in enumerate([rows[::2], rows[1::2]]):
+        for _ in range(2):  # a replay counts once
+            trigger.write(spark.createDataFrame(part, "key long, event_id long"), batch_id, out, left)
+    for r in spark.read.parquet(out).groupBy("key", "flush").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("d")).collect():
+        fired.append((r.key, r.flush, r.n, r.d))
+    assert sorted(fired, key=str) == [(0, 0, 10, 10), (0, 1, 10, 10), (None, 0, 10, 10)]
+    assert spark.read.parquet(os.path.join(left, "rows", "v=1")).count() == 5 + 9 + 1
+
+
 def test_retrain_rule():
     assert not ST.retrain_due(130, 10, False)
     assert ST.retrain_due(131, 10, False)
