@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from verdant.llm import exact_dedup as exact
-from verdant.llm import decontam, jaccard, language, line_dedup, mixing, secrets, sharding, toxicity, url_filter
+from verdant.llm import (decontam, infilling, jaccard, language, line_dedup, mixing, secrets, sharding, substrings, toxicity, url_filter,
+                         whitening)
 from verdant.llm.common import SIMILARITY_PERCENT, UPPER, held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,3 +229,56 @@ FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOI
 """)
 def op10_jaccard_join(spark, sf_dir):
     return jaccard.join_components(read_table(spark, sf_dir, "documents"))
+
+
+@query(f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws
+  FROM documents),
+w AS (
+  SELECT r, i, sha256(array_to_string(ws[i:i + {substrings.WINDOW_WORDS - 1}], ' ')) AS h
+  FROM d, unnest(range(1, len(ws) - {substrings.WINDOW_WORDS - 2})) AS u(i)),
+repeated AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM w) WHERE n > 1),
+covered AS (SELECT DISTINCT r, i + k AS i FROM repeated, range({substrings.WINDOW_WORDS}) AS t(k)),
+gone AS (SELECT r, list(i) AS gone FROM covered GROUP BY r),
+kept AS (
+  SELECT doc_id, ws, CASE WHEN gone IS NULL THEN ws
+    ELSE list_transform(list_filter(range(1, len(ws) + 1), lambda k: NOT list_contains(gone, k)), lambda k: ws[k]) END AS ks
+  FROM d LEFT JOIN gone USING (r))
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - len(ks))::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(ks, ' '), '')) AS kept_sha256 FROM kept
+""")
+def op11_substring_dedup(spark, sf_dir):
+    out = substrings.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+@query(f"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('{infilling.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]', 0, 's') AS u FROM documents),
+p AS (
+  SELECT *, len(u)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS b,
+         ('0x' || substr(h, 17, 8))::BIGINT % 100 AS c, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS e FROM t),
+q AS (
+  SELECT doc_id, text, n,
+         CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR c >= {infilling.TRANSFORMED} THEN 'plain'
+              WHEN e < {infilling.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form,
+         coalesce(array_to_string(u[1:least(a, b)], ''), '') AS prefix,
+         coalesce(array_to_string(u[least(a, b) + 1:greatest(a, b)], ''), '') AS middle,
+         coalesce(array_to_string(u[greatest(a, b) + 1:], ''), '') AS suffix FROM p)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM q
+""")
+def op13_infilling(spark, sf_dir):
+    out = infilling.fill_in_middle(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(infilling.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
