@@ -88,3 +88,12 @@ def test_a_hot_window_sends_one_row_a_batch(spark):
     asked = docs.mapInArrow(substrings._ask(35, 35), substrings.ASKED)
     assert asked.where("known = 0").count() == 0
     assert asked.where("known = 2").count() == 4 * 26
+
+
+def test_texts_move_once(spark):
+    """The joins of the levels read the numbered texts in place."""
+    numbered = substrings.numbered_words(frame(spark, corpus()))
+    held = spark.createDataFrame([(0, [1], [2])], substrings.RUNS)
+    for how in ("inner", "left"):
+        plan = numbered.join(held.hint("merge"), "row", how)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1, plan

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from verdant.session import scratch_path
+from verdant.session import partitions_for, scratch_path
 
 # The white space that separates words, as characters and as a regex class.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -32,6 +34,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_by_key(df: DataFrame, key: str, name: str, bytes_each: int = 64 << 20) -> DataFrame:
+    """``df`` as a table of the shared folder, bucketed by ``key``: joins and groupings on it leave its rows in place.
+
+    The buckets follow the size of the data read, and are no fewer than the shuffle partitions, or Spark would
+    deal the table anew. Only the files stay; the catalog entry, needed to write buckets, is dropped at once.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = os.path.basename(path).replace("-", "_")
+    n = partitions_for(df, bytes_each)
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(table)
+    rows = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return rows
+
+
 def whole_text(col: str = "text") -> Column:
     """The text, null as the empty text."""
     return F.coalesce(F.col(col), F.lit(""))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from verdant.llm.common import BLANKS, WORD_BREAK, staged, whole_text
+from verdant.llm.common import BLANKS, WORD_BREAK, staged, staged_by_key, whole_text
 
 WINDOW_WORDS = 35
 FIRST_WORDS = 9        # the first level's length, reached by halving WINDOW_WORDS
@@ -95,7 +95,7 @@ def _blocks(rows: list, hasher: WindowHasher) -> Iterator[list]:
         yield held
 
 
-ASKED = "h long, row long, lo int, hi int, known int"
+ASKED = "h long, row long, run long, known int"
 
 
 def _ask(length: int, words: int):
@@ -103,9 +103,9 @@ def _ask(length: int, words: int):
 
     Each window of ``words`` words that is still open is looked up by one of the ``length``-word windows
     inside it, the one of least hash, so equal windows ask for equal ones; neighbours mostly ask for the
-    same. A row (h, row, lo, hi): the windows from lo to hi of a document ask for h. What already repeats
-    within the batch is ``known`` 1 and needs no partner; one such row more, ``known`` 2, tells the others.
-    So of a window that very many documents hold each batch sends one row.
+    same. A row (h, row, run): the windows from lo to hi of a document ask for h; run is lo * 2^32 + hi.
+    What already repeats within the batch is ``known`` 1 and needs no partner; one such row more,
+    ``known`` 2, tells the others. So of a window that very many documents hold each batch sends one row.
     """
     def run(batches):
         hasher = WindowHasher()
@@ -115,7 +115,7 @@ def _ask(length: int, words: int):
             if open_runs:
                 cols += [batch.column("los").to_pylist(), batch.column("his").to_pylist()]
             cols.append(batch.column("words").cast(pa.large_binary()).to_pylist())
-            out = [[], [], [], []]
+            out = [[], [], []]
             for held in _blocks(list(zip(*cols)), hasher):
                 n = len(hasher.start) - words + 1
                 if n <= 0:
@@ -142,19 +142,17 @@ def _ask(length: int, words: int):
                 doc = hasher.doc[q[begin]]
                 out[0].append(h[p[begin]])
                 out[1].append(np.array([r[0] for r in held], np.int64)[doc])
-                out[2].append(q[begin] - first[doc])
-                out[3].append(q[last] - first[doc])
+                out[2].append(((q[begin] - first[doc]) << 32) + q[last] - first[doc])
             if not out[0]:
                 continue
-            h, row, lo, hi = (np.concatenate(x) for x in out)
+            h, row, runs = (np.concatenate(x) for x in out)
             _, one, place, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
             known = (count[place] > 1).astype(np.int32)
             tell = one[count > 1]
-            h, row, lo, hi = (np.concatenate((x, x[tell])) for x in (h, row, lo, hi))
+            h, row, runs = (np.concatenate((x, x[tell])) for x in (h, row, runs))
             known = np.concatenate((known, np.full(len(tell), 2, np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(row), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(known)],
-                ["h", "row", "lo", "hi", "known"])
+                [pa.array(h.view(np.int64)), pa.array(row), pa.array(runs), pa.array(known)], ["h", "row", "run", "known"])
 
     return run
 
@@ -163,7 +161,7 @@ RUNS = "row long, los array<int>, his array<int>"
 
 
 def _merge(batches):
-    """(row, runs) -> (row, los, his): runs of one document, each lo * 2^32 + hi, joined where they touch."""
+    """(row, runs) -> (row, los, his): the runs of a document joined where they touch."""
     for batch in batches:
         lists = batch.column("runs")
         sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
@@ -191,26 +189,24 @@ def survivors(docs: DataFrame, length: int, words: int, name: str) -> DataFrame:
     more rows than there are batches.
     """
     asked = docs.mapInArrow(_ask(length, words), ASKED)
-    settled = F.col("known") == 1
-    # settled rows only pass through: they are dealt by themselves
-    key = F.when(settled, F.xxhash64("row", "lo")).otherwise(F.col("h"))
-    same = Window.partitionBy("key", "settled")
-    found = (asked.select(key.alias("key"), settled.alias("settled"), "row", "lo", "hi", "known")
-             .withColumn("n", F.count(F.lit(1)).over(same))
-             .where(F.col("settled") | ((F.col("known") == 0) & (F.col("n") > 1))))
-    run = F.shiftleft(F.col("lo").cast("long"), 32) + F.col("hi")
-    runs = found.groupBy("row").agg(F.collect_list(run).alias("runs"))
+    # settled rows only pass through, dealt by themselves
+    key = F.when(F.col("known") == 1, F.xxhash64("row", "run")).otherwise(F.col("h"))
+    found = (asked.select(key.alias("key"), "row", "run", "known")
+             .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
+             .where((F.col("known") == 1) | ((F.col("known") == 0) & (F.col("n") > 1))))
+    runs = found.groupBy("row").agg(F.collect_list("run").alias("runs"))
     return staged(runs.mapInArrow(_merge, RUNS), name)
 
 
 def numbered_words(docs: DataFrame) -> DataFrame:
     """(row, doc_id, words) for every row of ``docs``: a number of its own, its words joined by one space.
 
-    Written to the shared folder, so the numbers stand whatever is read again.
+    Written to the shared folder, so the numbers stand whatever is read again, and bucketed by them, so the
+    texts move this once and the levels read them in place.
     """
     words = F.regexp_replace(F.btrim(whole_text(), F.lit(BLANKS)), WORD_BREAK, " ")
-    return staged(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
-                              words.alias("words")), "numbered-words")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words.alias("words"))
+    return staged_by_key(rows, "row", "numbered-words")
 
 
 def repeated_windows(numbered: DataFrame, words: int = WINDOW_WORDS, first: int = FIRST_WORDS) -> DataFrame:
@@ -264,8 +260,7 @@ def remove_repeats(docs: DataFrame, words: int = WINDOW_WORDS, first: int = FIRS
 
     Words are maximal runs without white space, compared unchanged; kept words are joined by one space. Null and
     empty texts have no words; rows that repeat a document repeat each other and keep nothing of 35 words or
-    more; a null doc_id is reported as null. Other columns of ``docs`` are not looked at. Beyond Spark's limit
-    for broadcasts a level moves the texts that still have candidates once.
+    more; a null doc_id is reported as null. Other columns of ``docs`` are not looked at.
     """
     numbered = numbered_words(docs)
     held = repeated_windows(numbered, words, first)
