@@ -122,3 +122,15 @@ def test_drop_leaky_removes_target_determining_features(spark):
     res = T.train_sustainability(df, "carbon", drop_leaky=True, num_trees=3, rounds=3)
     assert not set(res.numeric) & set(T.LEAKY["carbon"])
     assert "farm_size_hectares" in res.numeric
+
+
+def test_report_scores_once_and_returns_every_table(spark):
+    df = spark.createDataFrame([("Organic", "Drip", 1.0, 2.0, 3.0), ("Organic", None, 3.0, 4.0, 5.0)],
+                               "farming_method string, irrigation_method string, predicted_carbon double, predicted_water double, "
+                               "predicted_impact double")
+    rows = T.report_rows(T.sustainability_report(df)).collect()
+    got = {(r.table, r.name): (r.n, r["mean"], r["min"]) for r in rows}
+    assert got == {("summary", "Carbon Footprint"): (None, 2.0, 1.0), ("summary", "Water Usage"): (None, 3.0, 2.0),
+                   ("summary", "Environmental Impact"): (None, 4.0, 3.0),
+                   ("mean_predicted_carbon_by_farming_method", "Organic"): (2, 2.0, None),
+                   ("mean_predicted_water_by_irrigation_method", "Drip"): (1, 2.0, None)}

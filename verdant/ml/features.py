@@ -26,10 +26,13 @@ def train_test_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int
                          .otherwise(F.lit("train")))
 
 
+def fold_of(key: str, k: int = 5, seed: int = 42) -> Column:
+    return (F.conv(hash_fraction_key(key, seed), 16, 10).cast("bigint") % F.lit(k)).cast("int")
+
+
 def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42, name: str = "fold") -> DataFrame:
     """M2: fold = (first 8 hex digits of md5(key|seed) as a number) mod k."""
-    h = F.conv(hash_fraction_key(key, seed), 16, 10).cast("bigint")
-    return df.withColumn(name, (h % F.lit(k)).cast("int"))
+    return df.withColumn(name, fold_of(key, k, seed))
 
 
 def stratified_kfold(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42,

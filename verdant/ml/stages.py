@@ -15,13 +15,14 @@ from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
 from verdant.ml import features as M
+from verdant.ml.trees import TreeSettings
 from verdant.operators import clean as C
-from verdant.session import partitions_for
+from verdant.session import TARGET_PARTITION_BYTES, input_bytes
 
 
 class _Cols(Params):
@@ -171,7 +172,8 @@ def dummies_preprocessor(numeric: list[str], categorical: list[str], categories:
 
 # --- model factories (reference sizes as defaults) -------------------------------------------------
 
-RF_MAX_DEPTH = 30  # the reference grows trees without a depth limit; this is MLlib's largest
+RF_MAX_DEPTH = 30   # the reference grows trees without a depth limit
+TABULAR_BINS = 256  # bins of a feature for second-order boosting, as the reference's learner uses
 
 PARALLELISM = "spark.verdant.ml.parallelism"       # model fits at once
 NODE_MEMORY = "spark.verdant.ml.nodeMemoryMB"      # a task's budget for tree histograms
@@ -195,28 +197,29 @@ def node_memory_mb(spark=None) -> int:
     return setting(spark, NODE_MEMORY)
 
 
-def random_forest(label: str, min_leaf: int = 1, num_trees: int = 100, max_depth: int = RF_MAX_DEPTH,
-                  seed: int = 42) -> RandomForestRegressor:
+def random_forest(min_leaf: int = 1, num_trees: int = 100, max_depth: int = RF_MAX_DEPTH, seed: int = 42) -> TreeSettings:
     """Random forest regressor, all features considered at every split."""
-    return RandomForestRegressor(labelCol=label, numTrees=num_trees, minInstancesPerNode=min_leaf,
-                                 featureSubsetStrategy="all", maxDepth=max_depth, seed=seed,
-                                 maxMemoryInMB=node_memory_mb(), cacheNodeIds=True)
+    return TreeSettings(boosting=False, trees=num_trees, depth=max_depth, min_rows=min_leaf, seed=seed)
 
 
-def gradient_boosting(label: str, rounds: int = 100, rate: float = 0.1, depth: int = 3,
-                      seed: int = 42) -> GBTRegressor:
+def gradient_boosting(rounds: int = 100, rate: float = 0.1, depth: int = 3, seed: int = 42) -> TreeSettings:
     """Squared-loss boosting of depth-3 trees."""
-    return GBTRegressor(labelCol=label, maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed,
-                        maxMemoryInMB=node_memory_mb(), cacheNodeIds=True)
+    return TreeSettings(boosting=True, trees=rounds, depth=depth, rate=rate, seed=seed)
+
+
+def second_order_boosting(task: str, n_classes: int = 2, rounds: int = 100, rate: float = 0.1, depth: int = 5, sample: float = 0.8,
+                          col_sample: float = 0.8, seed: int = 42) -> TreeSettings:
+    """Boosting on gradients and Hessians, rows and columns drawn for each tree, ridge 1, least Hessian 1;
+    squared loss, logistic for two classes, and one soft-max model for more."""
+    loss = "squared" if task == "regression" else "logistic" if n_classes <= 2 else "softmax"
+    return TreeSettings(boosting=True, trees=rounds, depth=depth, rate=rate, min_hessian=1.0, ridge=1.0, row_share=sample,
+                        column_share=col_sample, loss=loss, classes=max(2, n_classes), bins=TABULAR_BINS, seed=seed)
 
 
 def boosted_tabular(label: str, task: str, n_classes: int = 2, rounds: int = 100, rate: float = 0.1,
                     depth: int = 5, sample: float = 0.8, col_sample: float = 0.8, seed: int = 42,
                     validation_col: str | None = None):
-    """Boosted trees for regression, binary or (one-vs-rest) multi-class classification.
-
-    ``validation_col`` enables early stopping on the flagged rows (M20).
-    """
+    """MLlib's boosted trees of the M12 sizes, stopped early on the rows that ``validation_col`` flags."""
     common = dict(maxIter=rounds, stepSize=rate, maxDepth=depth, subsamplingRate=sample,
                   featureSubsetStrategy=str(col_sample), seed=seed, minInstancesPerNode=1,
                   maxMemoryInMB=node_memory_mb(), cacheNodeIds=True)
@@ -244,5 +247,8 @@ def assemble(stages: list, model) -> Pipeline:
 
 
 def ensure_parallelism(df: DataFrame) -> DataFrame:
-    """Spread a training table evenly over the cluster's cores (MLlib runs one task per partition)."""
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, partitions_for(df)))
+    """Spread a training table evenly over the cluster's cores, or by its size if that is more.
+
+    The shuffle partitions do not count here: every pass of a fit runs one task per partition."""
+    size = input_bytes(df) or 0
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // TARGET_PARTITION_BYTES)))

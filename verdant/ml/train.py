@@ -1,7 +1,7 @@
 """Training, selection, scoring and reporting flows.
 
-Data never leaves the cluster: fits and evaluations are MLlib jobs; the driver only sees
-metric rows. Cross-validation folds run concurrently (one Spark job stream per thread).
+Data never leaves the cluster: fits and evaluations are Spark jobs; the driver only sees models and metric
+rows. The folds of all candidates are grown together from one binned table (``verdant.ml.trees``).
 """
 
 from __future__ import annotations
@@ -9,18 +9,20 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
+from functools import reduce
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from verdant.ml import features as M
 from verdant.ml import stages as P
+from verdant.ml import trees
+from verdant.ml.ensemble import TreeEnsembleModel
 from verdant.operators import clean as C
 from verdant.operators import stats as S
-from verdant.session import shared_dir
+from verdant.session import pin, shared_dir
 from verdant.sources.tables import path_exists, save_metadata
 
 CV_FOLDS = 5
@@ -43,20 +45,6 @@ def rmse_of(pred: DataFrame, label: str, p: str = "prediction") -> float:
     return pred.agg(F.sqrt(F.avg(e * e))).first()[0]
 
 
-def cross_validate(estimator, train: DataFrame, label: str, key: str, folds: int = CV_FOLDS,
-                   parallelism: int = CV_FOLDS) -> list[float]:
-    """M2 + A16 input: per-fold RMSE of ``estimator`` fitted on the other folds (hash folds)."""
-    data = M.kfold(train, key, folds, name="_fold")
-
-    def one(k: int) -> float:
-        model = estimator.fit(data.filter(F.col("_fold") != k))
-        return rmse_of(model.transform(data.filter(F.col("_fold") == k)), label)
-
-    parallelism = min(parallelism, P.fit_parallelism(train.sparkSession, folds))
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        return list(pool.map(one, range(folds)))
-
-
 def _metric_row(name: str, pred: DataFrame, label: str, cv: list[float] | None, position: int):
     m = S.regression_metrics(pred, label, "prediction").first()
     cv_mean = sum(cv) / len(cv) if cv else None
@@ -66,6 +54,30 @@ def _metric_row(name: str, pred: DataFrame, label: str, cv: list[float] | None,
 METRICS_SCHEMA = "model string, position int, cv_rmse double, test_rmse double, test_mae double, test_r2 double"
 
 
+def fit_all(train: DataFrame, label: str, key: str, stages: list, settings: list, fold: F.Column, folds) -> tuple:
+    """Every model of ``settings`` on the whole train part and, for each of ``folds``, on the rest of it.
+
+    The feature stages are fitted once and their output is binned once; all fits grow from that table.
+    Returns the stages' model, one PipelineModel for each setting, and each one's errors on the held-out folds.
+    """
+    prepared = Pipeline(stages=stages).fit(train)
+    rows = prepared.transform(train.withColumn("_fold", fold))
+    tables: dict = {}
+    models, errors = [None] * len(settings), [[] for _ in settings]
+    for bins in sorted({s.bins for s in settings}):
+        mine = [i for i, s in enumerate(settings) if s.bins == bins]
+        table = tables.setdefault(bins, trees.bin_table(rows, label, F.col(key), F.col("_fold"), bins=bins))
+        fits = [trees.Fit(settings[i], held) for i in mine for held in (None, *folds)]
+        grown, held_out = trees.train(table, fits)
+        for at, f in enumerate(fits):
+            i = mine[at // (1 + len(folds))]
+            if f.held is None:
+                models[i] = PipelineModel(prepared.stages + [TreeEnsembleModel.of(grown[at], table.layout)])
+            elif at in held_out:
+                errors[i].append(held_out[at])
+    return prepared, models, errors
+
+
 def train_select(df: DataFrame, target: str, key: str, numeric: list[str], categorical: list[str],
                  candidates: dict, select_on: str = "cv", dummies: bool = False, seed: int = 42) -> TrainResult:
     """Split (M1), optional CV (M2/A16), fit every candidate, pick the best (O4) by CV or test RMSE."""
@@ -78,24 +90,13 @@ def train_select(df: DataFrame, target: str, key: str, numeric: list[str], categ
         stages = P.dummies_preprocessor(numeric, categorical, cats)
     else:
         stages = P.preprocessor(numeric, categorical)
-    # every fit is independent: all (candidate, fold) CV fits and the final fits run concurrently
-    ests = {name: P.assemble(stages, model) for name, model in candidates.items()}
-    folded = M.kfold(train, key, CV_FOLDS, name="_fold") if select_on == "cv" else None
-
-    def cv_fit(task):
-        name, k = task
-        m = ests[name].fit(folded.filter(F.col("_fold") != k))
-        return rmse_of(m.transform(folded.filter(F.col("_fold") == k)), target)
-
-    cv_tasks = [(n, k) for n in ests for k in range(CV_FOLDS)] if select_on == "cv" else []
-    with ThreadPoolExecutor(max_workers=P.fit_parallelism(spark, len(cv_tasks) + len(ests))) as pool:
-        cv_scores = dict(zip(cv_tasks, pool.map(cv_fit, cv_tasks)))
-        final = {n: pool.submit(ests[n].fit, train) for n in ests}
-        fitted = {n: f.result() for n, f in final.items()}
+    folds = range(CV_FOLDS) if select_on == "cv" else ()
+    prepared, fitted, cv = fit_all(train, target, key, stages, list(candidates.values()), M.fold_of(key, CV_FOLDS), folds)
+    fitted = dict(zip(candidates, fitted))
     rows = []
-    for pos, name in enumerate(ests):
-        cv = [cv_scores[(name, k)] for k in range(CV_FOLDS)] if select_on == "cv" else None
-        rows.append(_metric_row(name, fitted[name].transform(test), target, cv, pos))
+    for pos, name in enumerate(candidates):
+        scores = [e["rmse"] for e in cv[pos]] if folds else None
+        rows.append(_metric_row(name, fitted[name].transform(test), target, scores, pos))
     metrics = spark.createDataFrame(rows, METRICS_SCHEMA)
     score = "cv_rmse" if select_on == "cv" else "test_rmse"
     best = S.best_model(metrics.withColumnRenamed(score, "score"), "model", "score", "position").first().best_model
@@ -106,7 +107,6 @@ def train_select(df: DataFrame, target: str, key: str, numeric: list[str], categ
 
 # --- the three sustainability models (M13, M14) ---------------------------------------------------
 
-NOT_SETTINGS = {"maxMemoryInMB", "cacheNodeIds", "checkpointInterval"}  # of a fit: these change its cost, not its result
 LEAKY = {"carbon": ["carbon_sequestration_potential_kg_co2e", "net_carbon_impact_kg_co2e"],
          "water": ["water_efficiency_cubic_meters_per_ton"],
          "environment": ["biodiversity_impact_score", "soil_health_impact_score", "water_quality_impact_score",
@@ -122,9 +122,8 @@ MODEL_SPECS = {
 
 
 def sustainability_candidates(kind: str, num_trees: int = 100, rounds: int = 100) -> dict:
-    target = MODEL_SPECS[kind]["target"]
-    return {"Random Forest": P.random_forest(target, MODEL_SPECS[kind]["rf_leaf"], num_trees),
-            "Gradient Boosting": P.gradient_boosting(target, rounds)}
+    return {"Random Forest": P.random_forest(MODEL_SPECS[kind]["rf_leaf"], num_trees),
+            "Gradient Boosting": P.gradient_boosting(rounds)}
 
 
 def fingerprint(df: DataFrame, kind: str, **settings) -> str:
@@ -132,8 +131,7 @@ def fingerprint(df: DataFrame, kind: str, **settings) -> str:
     hashes), its columns, and the settings of the fits. One aggregate over the table."""
     row = df.agg(F.count(F.lit(1)).alias("n"),
                  F.sum(F.xxhash64(*[F.col(c) for c in df.columns]).cast("decimal(38,0)")).alias("h")).first()
-    fits = {name: sorted((p.name, str(v)) for p, v in est.extractParamMap().items() if p.name not in NOT_SETTINGS)
-            for name, est in sustainability_candidates(kind, **settings).items()}
+    fits = {name: asdict(s) for name, s in sustainability_candidates(kind, **settings).items()}
     mark = [row.n, str(row.h), df.dtypes, sorted(MODEL_SPECS[kind].items()), CV_FOLDS, fits]
     return hashlib.md5(json.dumps(mark).encode()).hexdigest()
 
@@ -183,19 +181,15 @@ def train_tabular(df: DataFrame, target: str | None = None, key: str | None = No
     data = P.ensure_parallelism(M.train_test_split(data, key, 0.2)).persist()
     train, test = data.filter(F.col("split") == "train"), data.filter(F.col("split") == "test")
     extra_tables: dict = {}
-    est = P.assemble(P.preprocessor(numeric, categorical), P.boosted_tabular(label, task, n_classes, rounds))
+    settings = P.second_order_boosting(task, n_classes, rounds)
     if task == "regression":
-        cv = cross_validate(est, train, label, key, folds)
+        fold = M.fold_of(key, folds)
     else:
-        strat = M.stratified_kfold(train, key, label, folds, name="_fold")
-
-        def one(k):
-            m = est.fit(strat.filter(F.col("_fold") != k))
-            p = m.transform(strat.filter(F.col("_fold") == k))
-            return p.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
-        with ThreadPoolExecutor(max_workers=P.fit_parallelism(spark, folds)) as pool:
-            cv = list(pool.map(one, range(folds)))
-    model = est.fit(train)
+        train = M.stratified_kfold(train, key, label, folds, name="_strat")
+        fold = F.col("_strat")
+    _, models, errors = fit_all(train, label, key, P.preprocessor(numeric, categorical), [settings], fold, range(folds))
+    model = models[0]
+    cv = [e["rmse" if task == "regression" else "accuracy"] for e in errors[0]]
     pred = model.transform(test)
     if task == "regression":
         m = S.regression_metrics(pred, label, "prediction").first()
@@ -436,8 +430,11 @@ def attach_predictions(df: DataFrame, scorers: dict) -> DataFrame:
 def sustainability_report(scored: DataFrame, out_dir: str | None = None) -> dict[str, DataFrame]:
     """A6 summary of the three predictions and A7 means per method / irrigation / system.
 
-    Returns the report tables (and writes them as parquet under ``out_dir`` when given).
+    Returns the report tables (and writes them as parquet under ``out_dir`` when given). What they need of the
+    scored rows is written once, so the models score each row one time.
     """
+    dims = ["farming_method", "irrigation_method", "farming_system"]
+    scored = pin(scored.select(*[c for c in dims if c in scored.columns], "predicted_carbon", "predicted_water", "predicted_impact"))
     tables = {"summary": S.summary_report(scored, {"Carbon Footprint": "predicted_carbon",
                                                    "Water Usage": "predicted_water",
                                                    "Environmental Impact": "predicted_impact"})}
@@ -451,5 +448,19 @@ def sustainability_report(scored: DataFrame, out_dir: str | None = None) -> dict
     return tables
 
 
+def report_rows(tables: dict[str, DataFrame]) -> DataFrame:
+    """The report tables as one: (table, name, n, mean, median, std, min, max, ci_low, ci_high), name being the
+    metric or the group; figures that a table does not have are null."""
+    numbers = ["n", "mean", "median", "std", "min", "max", "ci_low", "ci_high"]
+
+    def as_rows(name: str, t: DataFrame) -> DataFrame:
+        t = t.withColumnsRenamed({c: c.lower() for c in t.columns})
+        types = {"n": "long"}
+        return t.select(F.lit(name).alias("table"), F.col(t.columns[0]).alias("name"), *[
+            (F.col(c) if c in t.columns else F.lit(None)).cast(types.get(c, "double")).alias(c) for c in numbers])
+
+    return reduce(DataFrame.unionByName, [as_rows(name, t) for name, t in tables.items()])
+
+
 def vector_column_to_array(col: str) -> F.Column:
     return vector_to_array(F.col(col))
