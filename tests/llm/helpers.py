@@ -4,7 +4,9 @@ import re
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 # names that the operators use inside: an input may have columns called so
-CLASHING = ["keep_id", "digest", "token", "rank", "size", "slot", "shard", "line", "word", "u", "v", "component", "hs", "key", "copies"]
+CLASHING = ["keep_id", "digest", "token", "rank", "size", "slot", "shard", "line", "word", "u", "v", "component", "hs", "key", "copies",
+            "_key", "_rows", "_copies", "_row", "_again", "_leak", "_gone", "_at", "_slot", "_shard", "doc", "id", "gone", "leak", "at",
+            "name", "of", "rows", "again", "n", "row", "run", "words", "los", "his", "band", "draw", "target", "known"]
 
 
 def frame(spark, rows, extra=True):

@@ -107,7 +107,7 @@ def test_terms_do_not_depend_on_their_place():
 
 
 def test_pairs_that_weights_alone_cannot_tell():
-    """Toxic only if an insult meets a group: no linear score separates these."""
+    """Toxic if exactly one of an insult and a group is there: no linear score separates these."""
     rng = random.Random(4)
     texts, y = [], []
     for _ in range(1200):
@@ -115,10 +115,29 @@ def test_pairs_that_weights_alone_cannot_tell():
         own = ["insultword"] * insult + ["groupword"] * group + [f"f{rng.choice('abcdefgh')}x" for _ in range(8)]
         rng.shuffle(own)
         texts.append(" ".join(own))
-        y.append(float(insult and group))
+        y.append(float(insult != group))
     letters, y = textgrid.letters(), np.array(y)
     m = toxicity.fit(*toxicity.features(texts[:1000], letters), y[:1000])
     assert ((m.scores(texts[1000:], letters) >= 0.5) == y[1000:]).mean() > 0.95
+    linear = toxicity.Model(m.bias, m.w, np.zeros_like(m.v))
+    assert ((linear.scores(texts[1000:], letters) >= 0.5) == y[1000:]).mean() < 0.7
+
+
+def test_terms_that_were_not_learned_weigh_nothing():
+    letters = textgrid.letters()
+    texts = ["good word here"] * 40 + ["bad word here"] * 40 + ["rareterm word here"]
+    m = toxicity.fit(*toxicity.features(texts, letters), np.array([0.0] * 40 + [1.0] * 40 + [1.0]))
+    term = set(toxicity.features(["rareterm"], letters)[1]) - set(toxicity.features(texts[:80], letters)[1])
+    assert term and all(m.w[t] == 0 and not m.v[t].any() for t in term)
+
+
+def test_two_hundred_languages():
+    """Every language of a long list can be the label."""
+    rng = np.random.default_rng(6)
+    want = np.repeat(rng.permutation(200), 12)
+    score = np.full((len(want), 200), -30.0, np.float32)
+    score[np.arange(len(want)), want] = 0
+    assert (language.viterbi(score, np.zeros(len(want), np.int64), 1) == want).all()
 
 
 def test_toxicity_on_odd_rows(spark):

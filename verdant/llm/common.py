@@ -55,6 +55,18 @@ def whole_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def carried(docs: DataFrame, **named: Column) -> DataFrame:
+    """``docs`` with all its columns in one struct ``doc``, beside the ``named`` ones, so that no column of the
+    input can clash with one of ours; ``doc.*`` gives them back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+                       *[c.alias(name) for name, c in named.items()])
+
+
+def row_name(doc_id: Column, text: Column) -> Column:
+    """128 bits of a row's doc_id and text; a null id is like no other."""
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("none")), text)))
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, UPPER.lower())
 

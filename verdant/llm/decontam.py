@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from verdant.llm.common import (BLANKS, SHINGLE_WORDS, SIMILARITY_PERCENT, WORD_BREAK, ascii_lower, fit_to_broadcast, staged,
+from verdant.llm.common import (BLANKS, SHINGLE_WORDS, SIMILARITY_PERCENT, WORD_BREAK, ascii_lower, carried, fit_to_broadcast, staged,
                                 whole_text)
 
 # Finer bins for shorter items: (least number of shingles an item must share, further bits). A shared
@@ -120,6 +120,7 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = SIMILARITY
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
-    """``docs`` without the rows whose document contains an item; all columns stay."""
-    leaks = staged(contained_items(docs, items, percent).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(fit_to_broadcast(leaks, BROADCAST_ROWS), docs["doc_id"] == F.col("_leak"), "left_anti")
+    """``docs`` without the rows whose document contains an item; all columns stay, whatever their names."""
+    leaks = staged(contained_items(docs, items, percent).select(F.col("doc_id").alias("leak")).distinct(), "leaks")
+    rows = carried(docs, id=F.col("doc_id").cast("long"))
+    return rows.join(fit_to_broadcast(leaks, BROADCAST_ROWS), F.col("id") == F.col("leak"), "left_anti").select("doc.*")

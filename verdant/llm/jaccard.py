@@ -8,8 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from verdant.llm.common import (SHINGLE_WORDS, SIMILARITY_PERCENT, fit_to_broadcast, staged,
-                                whole_text)
+from verdant.llm.common import SHINGLE_WORDS, SIMILARITY_PERCENT, carried, fit_to_broadcast, staged, whole_text
 from verdant.llm.components import connected_components
 
 SKETCH_BITS = 18            # counters of the frequency sketch that orders the shingles
@@ -289,16 +288,17 @@ def join_components(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataF
 def keep_one(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each component does, the least doc_id.
 
-    All columns stay. Documents without words and rows without a doc_id are left alone. Of rows that
-    repeat a doc_id one stays.
+    All columns stay, whatever their names. Documents without words and rows without a doc_id are left alone.
+    Of rows that repeat a doc_id one stays.
     """
     found = join_components(docs, percent)
-    gone = staged(found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-duplicates")
-    kept = docs.join(fit_to_broadcast(gone, BROADCAST_ROWS), F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    again = staged(again.select("_again"), "repeated-ids")
+    gone = staged(found.where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct(), "near-duplicates")
+    rows = carried(docs, id=F.col("doc_id").cast("long"))
+    kept = rows.join(fit_to_broadcast(gone, BROADCAST_ROWS), F.col("id") == F.col("gone"), "left_anti")
+    again = rows.where("id is not null").groupBy(F.col("id").alias("again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = staged(again.select("again"), "repeated-ids")
     if again.isEmpty():
-        return kept
+        return kept.select("doc.*")
     hint = fit_to_broadcast(again, BROADCAST_ROWS)
-    on = F.col("doc_id") == F.col("_again")
-    return kept.join(hint, on, "left_anti").unionByName(kept.join(hint, on, "left_semi").dropDuplicates(["doc_id"]))
+    on = F.col("id") == F.col("again")
+    return kept.join(hint, on, "left_anti").unionByName(kept.join(hint, on, "left_semi").dropDuplicates(["id"])).select("doc.*")

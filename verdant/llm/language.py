@@ -126,10 +126,11 @@ def viterbi(score: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
     first, count = first[order], count[order]
     steps = int(count[0]) if n_docs else 0
     live = np.searchsorted(-count, -np.arange(steps), side="left")  # documents with more than t words
-    came = np.full(len(score), -1, np.int8)     # the language before, for paths that switched
+    kind = np.int8 if score.shape[1] <= 127 else np.int32
+    came = np.full(len(score), -1, kind)        # the language before, for paths that switched
     stayed = np.ones(score.shape, bool)
     best = np.zeros((n_docs, score.shape[1]), np.float32)
-    label = np.zeros(len(score), np.int8)
+    label = np.zeros(len(score), kind)
     for t in range(steps):
         n = live[t]
         at, now = first[:n] + t, best[:n]
@@ -141,7 +142,7 @@ def viterbi(score: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
             now = np.where(stay, now, switch[:, None])
         now = now + score[at]
         best[:n] = now - now.max(axis=1, keepdims=True)
-    last = best.argmax(axis=1).astype(np.int8)
+    last = best.argmax(axis=1).astype(kind)
     for t in range(steps - 1, -1, -1):
         n = live[t]
         at, here = first[:n] + t, last[:n]

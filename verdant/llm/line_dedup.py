@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from verdant.llm.common import staged, whole_text
+from verdant.llm.common import row_name, staged, whole_text
 
 MIN_SITES = 10      # a line on so many sites is boilerplate
 LG_K = 8            # 2^8 registers for each sketch
@@ -53,7 +53,7 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = M
     lines = boilerplate(docs, site, min_sites).select(F.col("line").alias("bad"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     # (document, position) of every line to go; documents are told apart by id and text
-    name = F.unhex(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), whole_text())))
+    name = row_name(F.col("doc_id"), whole_text())
     at = (rows.select(name.alias("name"), F.posexplode(F.split(whole_text(), "\n")).alias("at", "line"))
           .where(F.btrim("line", F.lit(TRIM)) != "").select("name", "at", line_key(F.col("line")).alias("line")))
     gone = (at.join(lines, F.col("line") == F.col("bad"), "left_semi")

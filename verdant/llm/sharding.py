@@ -50,12 +50,11 @@ def assign_shards(docs: DataFrame, spark: SparkSession, key: str = "doc_id",
     The table (``size`` rows, a setting) is broadcast, so placement is one hash and one probe for each
     row, with no shuffle. Rows with equal keys share a shard; a null key counts as the empty one.
     """
-    table = lookup_table(spark, shards, size).select(F.col("slot").alias("_slot"), F.col("shard").alias("_shard"))
+    table = lookup_table(spark, shards, size)
     at = (_number(F.coalesce(F.col(key).cast("string"), F.lit(""))) % size).cast("int")
-    kept = [c for c in docs.columns if c.lower() not in ("slot", "shard", "_slot", "_shard", "_at")]
-    return (docs.select(*[F.col(f"`{c}`") for c in kept], at.alias("_at"))
-            .join(F.broadcast(table), F.col("_at") == F.col("_slot"))
-            .select(*[F.col(f"`{c}`") for c in kept], F.col("_slot").alias("slot"), F.col("_shard").alias("shard")))
+    kept = docs.drop(*[c for c in docs.columns if c.lower() in ("slot", "shard")])
+    rows = kept.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("doc"), at.alias("at"))
+    return rows.join(F.broadcast(table), F.col("at") == F.col("slot")).select("doc.*", "slot", "shard")
 
 
 def write_shards(placed: DataFrame, path: str) -> None:

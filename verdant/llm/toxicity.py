@@ -84,7 +84,8 @@ class Model:
 def fit(doc, term, x, y, seed: int = SEED) -> Model:
     """Logistic loss, AdaGrad over mini-batches, weight decay on the terms that a batch touches.
 
-    The classes count equally.
+    The classes count equally. Terms that fewer than MIN_DOCS documents of the sample hold take no part: their
+    weights and factors are zero.
     """
     rng = np.random.default_rng(seed)
     n = len(y)
@@ -117,6 +118,7 @@ def fit(doc, term, x, y, seed: int = SEED) -> Model:
             v[touched] -= RATE * dv / np.sqrt(gv[touched])
             gb += error.sum() ** 2
             bias -= RATE * error.sum() / np.sqrt(gb)
+    v[np.bincount(term, minlength=BUCKETS) == 0] = 0  # terms that were not learned
     return Model(bias, w, v)
 
 
