@@ -148,3 +148,27 @@ def test_hot_group_is_spread_over_partitions(spark):
     assert hot.select("pid").distinct().count() >= 2
     got = sorted((r.event_id, r.pos) for r in hot.collect())
     assert [p for _, p in got] == list(range(1000))
+
+
+@pytest.mark.parametrize("few", [5_000, 20, 1])
+def test_order_statistics_by_brackets(spark, monkeypatch, few):
+    """Runs of equal values, infinities and rounds of narrowing: every rank as in a full sort."""
+    import random
+    monkeypatch.setattr(S, "COLLECTED_VALUES", few)
+    monkeypatch.setattr(S, "SKETCH_ACCURACY", 50)
+    rng = random.Random(few)
+    x = [7.0] * 1500 + [rng.gauss(0, 1) for _ in range(1200)] + [float("inf")] * 5 + [float("-inf")] * 3 + [-0.5] * 700
+    y = [float(rng.randrange(6)) for _ in range(len(x) - 40)] + [None] * 20 + [float("nan")] * 20
+    rng.shuffle(x)
+    rng.shuffle(y)
+    df = spark.createDataFrame(list(zip(x, y)), "x double, `y.z` double").repartition(5)
+    for c, values in (("x", sorted(x)), ("y.z", sorted(v for v in y if v is not None and v == v))):
+        ranks = sorted({0, 1, 2, 3, 700, 1200, 1899, 1900, len(values) // 2, len(values) - 7, len(values) - 1})
+        got = S.order_statistics(df, {c: ranks}, {c: len(values)})
+        assert got == {(c, r): values[r] for r in ranks}
+
+
+def test_quantiles_of_empty_and_all_null_columns(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 4.0)], "a double, b double")
+    assert [tuple(r) for r in S.exact_quantiles(df, ["a", "b"], [0.5]).collect()] == [("b", 0.5, 2.5)]
+    assert S.exact_quantiles(df.limit(0), ["a", "b"], [0.5]).collect() == []

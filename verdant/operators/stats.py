@@ -1,12 +1,14 @@
 """Aggregations, sorts and top-k (§2.6, O1-O5).
 
 All statistics are single aggregate passes with partial (map-side) aggregation. Exact
-quantiles are computed by rank selection over a range-partitioned order
-(``exact_quantiles``): no per-group value buffer in one task, unlike ``percentile``.
+quantiles are found by bracketed selection (``exact_quantiles``): a few aggregates of one row,
+no sort, and no value buffer in one task, unlike ``percentile``.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -39,32 +41,105 @@ def long_values(df: DataFrame, cols: list[str], value_type: str = "double") -> D
         [], cols, "column_name", "value")
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], group=None) -> DataFrame:
-    """Exact linear-interpolation quantiles of each column (nulls ignored).
-
-    Returns (group..., column_name, prob, quantile). Values are ranked by ``dense_index``
-    (range partitioned), only the two neighbouring ranks of each requested position are kept
-    and interpolated: ``lo + (hi - lo) * frac``.
+SKETCH_ACCURACY = 2_000   # rank error of the quantile sketch: one part in so many
+COLLECTED_VALUES = 5_000  # values between two bounds that are few enough to be looked at one by one
+
+
+@dataclass
+class _Search:
+    """The value of 0-based ``rank`` among a column's values strictly between ``low`` and ``high`` (None: no
+    bound), ``n`` of them; ``value`` once it is known."""
+
+    column: str
+    rank: int
+    n: int
+    low: float | None = None
+    high: float | None = None
+    value: float | None = None
+
+    def inside(self, x: Column) -> Column:
+        ok = x.isNotNull() & ~F.isnan(x)
+        if self.low is not None:
+            ok = ok & (x > F.lit(self.low))
+        if self.high is not None:
+            ok = ok & (x < F.lit(self.high))
+        return ok
+
+    def narrow(self, a: float, b: float, below: int, at_a: int, between: int, at_b: int) -> None:
+        """Step to one side of, between, or onto two values of the column, by how many values lie where."""
+        steps = [(below, None, (self.low, a)), (at_a, a, None), (between, None, (a, b)), (at_b, b, None),
+                 (self.n - below - at_a - between - at_b, None, (b, self.high))]
+        for count, value, bounds in steps:
+            if self.rank < count:
+                self.value = value
+                if bounds:
+                    self.low, self.high = bounds
+                    self.n = count
+                return
+            self.rank -= count
+        raise AssertionError("a rank beyond the values")
+
+
+def order_statistics(df: DataFrame, ranks: dict[str, list[int]], counts: dict[str, int]) -> dict[tuple[str, int], float]:
+    """The values of the given 0-based ranks of each (double) column, nulls and NaN left out.
+
+    A mergeable quantile sketch brackets every rank; one aggregate counts the values below, between and equal
+    to the ends of the brackets, which settles ranks within runs of equal values and narrows the others. A
+    round leaves a few thousandths of the values, so few rounds are needed at any size; the last few thousand
+    between two bounds are collected. Every pass is one aggregate of one row, no sort and no shuffle of values.
+    """
+    todo = {(c, r): _Search(c, r, counts[c]) for c, rs in ranks.items() for r in rs}
+
+    def aggregate(searches: list[_Search], of) -> list:
+        """``of(search, values inside its bounds)`` for each search, many in one pass."""
+        out = []
+        for at in range(0, len(searches), 64):
+            some = searches[at:at + 64]
+            cols = [F.struct(*[c.alias(f"v{j}") for j, c in enumerate(of(s, F.when(s.inside(F.col(f"`{s.column}`")), F.col(f"`{s.column}`"))))])
+                    .alias(f"s{i}") for i, s in enumerate(some)]
+            row = df.agg(*cols).first()
+            out += [tuple(row[i]) for i in range(len(some))]
+        return out
+
+    while True:
+        wide = [s for s in todo.values() if s.value is None and s.n > COLLECTED_VALUES]
+        if not wide:
+            break
+        margin = 2.0 / SKETCH_ACCURACY
+        ends = aggregate(wide, lambda s, x: [F.percentile_approx(x, [
+            max(0.0, s.rank / s.n - margin), min(1.0, (s.rank + 1) / s.n + margin)], SKETCH_ACCURACY)])
+        bracket = {id(s): e[0] for s, e in zip(wide, ends)}
+
+        def places(s, x):
+            a, b = (F.lit(v) for v in bracket[id(s)])
+            same = a.eqNullSafe(b)
+            return [F.count_if(x < a), F.count_if(x == a), F.count_if((x > a) & (x < b)), F.count_if((x == b) & ~same)]
+
+        for s, found in zip(wide, aggregate(wide, places)):
+            s.narrow(*bracket[id(s)], *found)
+    few = [s for s in todo.values() if s.value is None]
+    for s, (values,) in zip(few, aggregate(few, lambda s, x: [F.sort_array(F.collect_list(x))])):
+        s.value = values[s.rank]
+    return {key: s.value for key, s in todo.items()}
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
+    """Exact linear-interpolation quantiles of each column (nulls and NaN ignored).
+
+    Returns (column_name, prob, quantile) for columns with a value: ``lo + (hi - lo) * frac`` of the two ranks
+    around each position, which ``order_statistics`` finds by bracketed selection.
     """
-    group_cols = [group] if isinstance(group, str) else list(group or [])
-    vals = (df.select(*group_cols, *[F.col(c).cast("double").alias(c) for c in cols])
-              .unpivot(group_cols, cols, "column_name", "value")
-              .filter(F.col("value").isNotNull() & ~F.isnan("value")))
-    ranked = dense_index(vals, ["value"], [*group_cols, "column_name"], name="_rk", with_group_size=True)
-    ranked = ranked.withColumnRenamed("_rk_group_size", "_n")
-    prob_arr = F.array(*[F.lit(float(p)) for p in probs])
-    # each row emits the probabilities whose floor/ceil rank it holds
-    pos = F.col("_p") * (F.col("_n") - 1)
-    hits = (ranked.withColumn("_p", F.explode(prob_arr))
-                  .withColumn("_pos", pos)
-                  .filter((F.col("_rk") == F.floor("_pos")) | (F.col("_rk") == F.ceil("_pos"))))
-    keys = [*group_cols, "column_name", "_p"]
-    agg = hits.groupBy(*keys).agg(
-        F.min_by("value", "_rk").alias("_lo"), F.max_by("value", "_rk").alias("_hi"),
-        F.first("_pos").alias("_pos"))
-    frac = F.col("_pos") - F.floor("_pos")
-    return agg.select(*group_cols, "column_name", F.col("_p").alias("prob"),
-                      (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias("quantile"))
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    counted = values.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & ~F.isnan(F.col(f"`{c}`"))).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    counts = {c: counted[i] for i, c in enumerate(cols) if counted[i]}
+    at = {(c, p): float(p) * (n - 1) for c, n in counts.items() for p in probs}
+    ranks = {c: sorted({f(at[c, p]) for p in probs for f in (math.floor, math.ceil)}) for c in counts}
+    found = order_statistics(values, ranks, counts)
+    rows = []
+    for (c, p), pos in at.items():
+        lo, hi = found[c, math.floor(pos)], found[c, math.ceil(pos)]
+        rows.append((c, float(p), lo if lo == hi else lo + (hi - lo) * (pos - math.floor(pos))))
+    return df.sparkSession.createDataFrame(rows, "column_name string, prob double, quantile double")
 
 
 def describe_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
