@@ -1,6 +1,7 @@
 """Physical plan checks: pushdown/pruning, no Python in formula plans, bounded windows, top-k."""
 
-from pyspark.sql import functions as F
+import pytest
+from pyspark.sql import DataFrameWriter, functions as F
 
 import __spark_entry__ as E
 from verdant.functions import domain as D
@@ -52,10 +53,22 @@ def test_windows_never_use_a_single_partition(spark):
     assert "Exchange hashpartitioning(station_id" in p
 
 
-def test_dense_index_broadcasts_only_the_offsets(spark):
-    df = W.dense_index(readings(spark, SF), ["event_time", "event_id"], ["station_id"], name="pos")
-    p = plan(df)
-    assert "BroadcastExchange" in p and "SinglePartition" not in p.split("BroadcastExchange")[0]
+def test_positions_are_lazy_and_move_the_rows_once(spark, monkeypatch):
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda *a, **k: pytest.fail("a copy was written"))
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup
+    before = len(jobs(None))
+    df = W.dense_index(events, ["ts", "event_id"], ["user_id"], name="pos")
+    total = W.running_total(events, "event_id", ["ts", "event_id"])
+    assert len(jobs(None)) == before
+    for made in (df, total):
+        payload = [ln for ln in plan(made).splitlines() if "Exchange" in ln and "REPARTITION_BY_NUM" in ln]
+        assert len(payload) == 1 and "shufflepartitionidpassthrough" in payload[0]
+        rows = plan(made).split("Subquery")[0]  # the rows' own part of the plan begins with it
+        assert "SortMergeJoin" not in rows and "BroadcastExchange" not in rows
+        # everything else reads the key columns alone
+        scans = [ln for ln in plan(made).splitlines() if "ReadSchema" in ln]
+        assert sum("props" in ln.split("ReadSchema")[1] for ln in scans) == 1
 
 
 def test_partition_sizing_follows_input_not_join_estimates(spark):

@@ -90,6 +90,47 @@ def test_greedy_sample_matches_brute_force(spark, sizes, cap):
     assert sum(sizes[i] for i in got) <= cap
 
 
+@pytest.mark.parametrize("few", [0, 40])
+@pytest.mark.parametrize("cap", [-1, 0, 1, 37, 1000, 4096, 10 ** 9])
+def test_greedy_sample_by_bands(spark, monkeypatch, few, cap):
+    """Many misfits, empty files, a null length; whole on the cluster, and ended on the driver."""
+    monkeypatch.setattr(FS, "FEW_FILES", few)
+    rng = random.Random(cap)
+    sizes = [rng.choice([0, 1, 2, 3, 15, 16, 17, 255, 256, 700, 5000]) for _ in range(120)] + [None]
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, length long").repartition(5)
+    got = {r.doc_id for r in FS.sample_by_size(df, "doc_id", cap).collect()}
+    room, want = cap, set()
+    for r in FS.with_shuffle_key(df, "doc_id", 42).orderBy("_sk", "doc_id").collect():
+        if (r.length or 0) <= room:
+            room -= r.length or 0
+            want.add(r.doc_id)
+    assert got == want
+
+
+def test_positions_with_null_groups_ties_and_no_rows(spark):
+    rows = [(i % 3 or None, i // 2, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "g int, t int, id int").repartition(7)
+    for n in (1, 2, 5, 16):
+        out = W.dense_index(df, ["t", "id"], ["g"], name="at", num_partitions=n, with_group_size=True).collect()
+        for g in (None, 1, 2):
+            mine = sorted((r.at, r.id, r.at_group_size) for r in out if r.g == g)
+            ids = sorted(i for x, _, i in rows if x == g)
+            assert mine == [(p, i, len(ids)) for p, i in enumerate(ids)]
+        tied = W.dense_index(df, ["t"], name="at", num_partitions=n).collect()
+        assert sorted(r.at for r in tied) == list(range(400))
+        assert [r.t for r in sorted(tied, key=lambda r: r.at)] == sorted(t for _, t, _ in rows)
+        total = W.running_total(df, "g", ["t", "id"], num_partitions=n).orderBy("id").collect()
+        assert [r.running_total or 0 for r in total] == list(np.cumsum([g or 0 for g, _, _ in rows]))
+    assert W.dense_index(df.limit(0), ["id"], ["g"]).collect() == []
+
+
+def test_positional_merge_with_an_empty_right_side(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "x int, k string")
+    right = spark.createDataFrame([], "y int")
+    got = J.merge_positional(left, right, "x", "y").orderBy("x").collect()
+    assert [tuple(r) for r in got] == [(1, "a", None), (2, "b", None)]
+
+
 def test_split_stable_under_repartition(spark):
     df = spark.range(2000).withColumnRenamed("id", "k")
     a = {r.k: r.split for r in M.train_test_split(df, "k").collect()}

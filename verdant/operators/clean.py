@@ -67,6 +67,12 @@ def require_rows(df: DataFrame, n: int) -> bool:
     return df.limit(n + 1).count() > n
 
 
+def count_valid(df: DataFrame, group: str, corrupt_col: str = "_corrupt_record") -> DataFrame:
+    """P15, counted in one pass: good and dead-letter rows of a permissive parse by ``group``."""
+    bad = F.col(corrupt_col).isNotNull() if corrupt_col in df.columns else F.lit(False)
+    return df.groupBy(group).agg(F.count_if(~bad).alias("n_good"), F.count_if(bad).alias("n_bad"))
+
+
 def split_valid(df: DataFrame, corrupt_col: str = "_corrupt_record") -> tuple[DataFrame, DataFrame]:
     """(good rows, dead-letter rows) of a permissive parse."""
     if corrupt_col not in df.columns:

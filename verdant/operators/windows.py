@@ -1,22 +1,21 @@
 """Row positions and window operators.
 
-Global order without a global window: ``dense_index`` range-partitions on the (group, order)
-key, so one hot group is spread over many tasks; each task numbers its rows locally and a
-tiny per-(partition, group) count table gives every segment its offset. Nothing is pulled
-into one task or to the driver, and the result is deterministic for a total order (so a
-lost executor recomputes the same numbers).
-
-The range-partitioned frame is read twice (segment counts, then numbering), and Spark's
-range bounds come from a sample seeded per RDD, so it is pinned with a reliable
-``checkpoint()`` in the shared checkpoint folder: both reads, and any retry after a lost
-executor, see the same partitions.
+Global order without a global window: ``in_ranges`` deals the rows to ranges of the (group, order)
+key, so one hot group is spread over many tasks. The ranges' bounds are keys of a hashed sample of the
+input, a scalar subquery, and a row's range is a plain expression of its key and the bounds. So the same
+rows always fall in the same range, wherever and however often they are computed: the counts that give a
+range its offset come from the key columns alone, and the rows themselves move once. Nothing is
+written, nothing reaches the driver, and no job runs before an action.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from verdant.session import partitions_for, pin
+from verdant.session import partitions_for
+
+SAMPLED_KEYS = 1_000_000  # at most so many keys are looked at for the bounds
+KEYS_PER_RANGE = 20       # and at most so many for each range
 
 
 def _cols(x) -> list:
@@ -25,32 +24,82 @@ def _cols(x) -> list:
     return [x] if isinstance(x, (str, Column)) else list(x)
 
 
+def _as_column(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def _range_bounds(keys: DataFrame, n: int) -> DataFrame:
+    """One row with one array: the n - 1 inner bounds of n ranges of about equal size of the column ``_range_key``.
+
+    A key is sampled by its hash, so the bounds depend on the keys only, not on how they are dealt.
+    """
+    rows = keys.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("rows")).scalar()
+    sample = keys.where(F.pmod(F.xxhash64("_range_key"), rows) < min(KEYS_PER_RANGE * n, SAMPLED_KEYS))
+    sample = sample.agg(F.sort_array(F.collect_list("_range_key")).alias("keys"))
+    at = lambda i: F.get("keys", F.floor(i * F.size("keys") / F.lit(n)).cast("int"))
+    return sample.select(F.transform(F.sequence(F.lit(1), F.lit(n - 1)), at).alias("bounds"))
+
+
+def in_ranges(df: DataFrame, by: list, n: int) -> DataFrame:
+    """Add ``_range``, 0 to n - 1: the range of a row's ``by`` (ascending, nulls first) among n of about equal size.
+
+    ``_range`` is the number of bounds that are not above the row's key, found by halving.
+    """
+    key = F.struct(*[_as_column(c).alias(f"_{i}") for i, c in enumerate(by)])
+    out = df.withColumn("_range", F.lit(0))
+    if n < 2:
+        return out
+    bounds = _range_bounds(df.select(key.alias("_range_key")), n)
+    out = out.withColumn("_range_key", key)
+    for j in reversed(range((n - 1).bit_length())):
+        bound = F.get(bounds.scalar(), F.col("_range") + (2 ** j - 1))
+        out = out.withColumn("_range", F.when(bound <= F.col("_range_key"), F.col("_range") + 2 ** j).otherwise(F.col("_range")))
+    return out.drop("_range_key")
+
+
+def _before(sizes: DataFrame, n: int, group: list[str]) -> DataFrame:
+    """One row with one array of n structs (group, before) from ``sizes`` (_range, group columns, _n).
+
+    Ranges follow the group, so a range continues at most one group of the ranges before it; the struct
+    names that group and the sum of its ``_n`` in those ranges. All other groups of the range begin in it.
+    """
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    at = sizes.select("_range", F.struct(F.lit(0).alias("_"), *group).alias("group"), F.sum("_n").over(earlier).alias("before"))
+    at = at.where("before is not null")
+    ranges = sizes.sparkSession.range(n).join(at, F.col("id") == F.col("_range"), "left")
+    return ranges.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "group", "before"))),
+                                  lambda r: F.struct(r["group"].alias("group"), r["before"].alias("before"))).alias("ranges"))
+
+
+def _offset(sizes: DataFrame, n: int, group: list[str]) -> Column:
+    """The sum of ``_n`` of a row's group in the ranges before the row's own; null if there are none."""
+    mine = F.get(_before(sizes, n, group).scalar(), F.col("_range"))
+    return F.when(mine["group"].eqNullSafe(F.struct(F.lit(0).alias("_"), *group)), mine["before"])
+
+
 def dense_index(df: DataFrame, order, group=None, name: str = "row_idx",
                 num_partitions: int | None = None, with_group_size: bool = False) -> DataFrame:
-    """0-based position of each row in ``order`` (within ``group`` if given).
+    """0-based position of each row in ``order`` (within the columns ``group`` if given).
 
-    ``order`` must be a total order (end it with a unique key); ties otherwise get an
-    arbitrary but stable order.
+    ``order`` is ascending, nulls first, and must be a total order (end it with a unique key), or rows that tie
+    get any order, and another one when they are computed again. Null is a group like others. Lazy; the input
+    is read for its rows, and for the key columns alone by the bounds and the offsets of the ranges.
     """
     order_cols, group_cols = _cols(order), _cols(group)
-    group_names = [c for c in group_cols if isinstance(c, str)]
     n = num_partitions or partitions_for(df)
-    tagged = (df.repartitionByRange(n, *group_cols, *order_cols)
-                .sortWithinPartitions(*group_cols, *order_cols)
-                .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_mid", F.monotonically_increasing_id()))
-    tagged = pin(tagged)
-    seg = tagged.groupBy("_pid", *group_names).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-    before = Window.partitionBy(*group_names).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    seg = seg.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    if with_group_size:
-        seg = seg.withColumn("_group_n", F.sum("_n").over(Window.partitionBy(*group_names)))
-    keep = ["_pid", *group_names, "_off", "_first"] + (["_group_n"] if with_group_size else [])
-    out = tagged.join(seg.select(*keep), on=["_pid", *group_names], how="inner")
-    out = out.withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_first")).cast("bigint"))
+    tagged = in_ranges(df, group_cols + order_cols, n)
+    sizes = tagged.groupBy("_range", *group_cols).agg(F.count(F.lit(1)).alias("_n"))
+    within = Window.partitionBy("_range", *group_cols).orderBy(*order_cols)
+    out = tagged.repartitionById(n, F.col("_range")).withColumn(name, (F.row_number().over(within) - 1).cast("bigint"))
+    out = out.withColumn(name, F.col(name) + F.coalesce(_offset(sizes, n, group_cols), F.lit(0)))
     if with_group_size:
-        out = out.withColumnRenamed("_group_n", f"{name}_group_size")
-    return out.drop("_pid", "_mid", "_off", "_first")
+        total = sizes.groupBy(*group_cols).agg(F.sum("_n").alias(f"{name}_group_size"))
+        total = total.withColumnsRenamed({g: f"_of_{i}" for i, g in enumerate(group_cols)})
+        on = F.lit(True)
+        for i, g in enumerate(group_cols):
+            on = on & F.col(g).eqNullSafe(F.col(f"_of_{i}"))
+        out = out.join(total, on).drop(*[f"_of_{i}" for i in range(len(group_cols))])
+    return out.drop("_range")
 
 
 def every_nth(df: DataFrame, n: int, order, group=None) -> DataFrame:
@@ -61,17 +110,18 @@ def every_nth(df: DataFrame, n: int, order, group=None) -> DataFrame:
 
 def running_total(df: DataFrame, value: str, order, name: str = "running_total",
                   num_partitions: int | None = None) -> DataFrame:
-    """Running sum of ``value`` over a global order, two-level (per range slice, then offsets)."""
-    order_cols = _cols(order)
+    """Running sum of ``value`` over a global order (as in ``dense_index``): per range, and the ranges before."""
     n = num_partitions or partitions_for(df)
-    sliced = pin(df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id()))
-    local_w = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    local = sliced.withColumn("_local", F.sum(value).over(local_w))
-    totals = sliced.groupBy("_pid").agg(F.sum(value).alias("_tot"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_off", F.coalesce(F.sum("_tot").over(before), F.lit(0))).select("_pid", "_off")
-    out = local.join(offsets, on=["_pid"], how="inner")
-    return out.withColumn(name, F.col("_off") + F.col("_local")).drop("_pid", "_off", "_local")
+    return range_totals(in_ranges(df, _cols(order), n), value, order, n, name).drop("_range")
+
+
+def range_totals(tagged: DataFrame, value: str, order, n: int, name: str) -> DataFrame:
+    """``running_total`` of a table that ``in_ranges`` has tagged by the same ``order``."""
+    sums = tagged.groupBy("_range").agg(F.sum(value).alias("_n"))
+    within = Window.partitionBy("_range").orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
+    out = tagged.repartitionById(n, F.col("_range")).withColumn(name, F.sum(value).over(within))
+    before = _offset(sums, n, [])
+    return out.withColumn(name, F.when(before.isNull(), F.col(name)).otherwise(before + F.coalesce(F.col(name), F.lit(0))))
 
 
 def sliding_windows(df: DataFrame, features: list[str], order, group, length: int = 30,
@@ -91,10 +141,9 @@ def sliding_windows(df: DataFrame, features: list[str], order, group, length: in
     pos = dense_index(df, order, group_cols, name="_pos")
     halo = length if not include_current else length - 1
     chunk = F.floor(F.col("_pos") / F.lit(chunk_rows)).cast("bigint")
-    own = pos.withColumn("_chunk", chunk).withColumn("_halo", F.lit(False))
-    copies = (pos.filter((F.col("_pos") % chunk_rows) >= chunk_rows - halo)
-                 .withColumn("_chunk", chunk + 1).withColumn("_halo", F.lit(True)))
-    rows = own.unionByName(copies)
+    last = (F.col("_pos") % chunk_rows) >= chunk_rows - halo
+    rows = pos.withColumn("_chunk", F.explode(F.when(last, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))))
+    rows = rows.withColumn("_halo", F.col("_chunk") > chunk)
     lo, hi = (-(length - 1), 0) if include_current else (-length, -1)
     w = Window.partitionBy(*group_cols, "_chunk").orderBy("_pos").rowsBetween(lo, hi)
     feats = F.struct(*[F.col(c) for c in features])

@@ -235,7 +235,4 @@ def q_split_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     msgs = events.select(made.alias("m")).select("m.*").unionByName(
         base_table(spark, sf_dir, "pages").select(F.lit("pages").alias("source"), F.col("url").alias("value")))
     parsed = SJ.parse_json_column(msgs, "value", "k int")
-    good, bad = C.split_valid(parsed)
-    return (good.select("source", F.lit(1).alias("g"), F.lit(0).alias("b"))
-            .unionByName(bad.select("source", F.lit(0).alias("g"), F.lit(1).alias("b")))
-            .groupBy("source").agg(F.sum("g").cast("bigint").alias("n_good"), F.sum("b").cast("bigint").alias("n_bad")))
+    return C.count_valid(parsed, "source")
