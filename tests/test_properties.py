@@ -64,6 +64,52 @@ def test_merge_common_matches_brute_force(spark, left, right):
     assert got == sorted(want, key=str)
 
 
+def _outer_merge(left, right):
+    want = []
+    for k, x in left:
+        ys = [y for k2, y in right if k2 == k]
+        want += [(k, x, y) for y in ys] or [(k, x, None)]
+    return sorted(want + [(k, None, y) for k, y in right if k not in {k1 for k1, _ in left}], key=str)
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.sampled_from([0.0, -0.0, 1.5, 2.0, None]), max_size=25),
+       st.lists(st.sampled_from([0.0, 1.5, 3.0, None]), max_size=25), st.integers(2, 9))
+def test_merge_common_with_heavy_keys(spark, left, right, parts):
+    """Pieces of few rows, so that most keys are heavy on one side or both; -0.0 is the key 0.0."""
+    left, right = [(k, i) for i, k in enumerate(left)], [(k, i) for i, k in enumerate(right)]
+    ldf = spark.createDataFrame(left, "k double, x int")
+    rdf = spark.createDataFrame(right, "k double, y int")
+    out = J.merge_common(ldf, rdf, ["k"], parts=parts, least=1)
+    assert out.columns == ["k", "x", "y"]
+    assert sorted(((k if k is None else k + 0.0, x, y) for k, x, y in out.collect()), key=str) == _outer_merge(
+        [(k if k is None else k + 0.0, x) for k, x in left], right)
+
+
+def test_merge_common_spreads_a_key_with_a_third_of_both_sides(spark):
+    """The null key and one value are heavy on both sides; another on the left only. Two keys of unlike types,
+    columns named as the plan's own."""
+    left = spark.range(600).selectExpr("id a", "case when id % 3 = 0 then null when id % 3 = 1 then 'h' else 'k' || id end s",
+                                       "cast(7 as int) n", "id a_own")
+    right = spark.range(300).selectExpr("id b", "case when id % 3 = 0 then null when id % 3 = 1 then 'h' else 'q' || id end s",
+                                        "cast(7 as bigint) n", "id b_across")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = J.merge_common(left, right, ["s", "n"], parts=16, least=1)
+        assert out.columns == ["a", "s", "n", "a_own", "b", "b_across"]
+        rows = out.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(rows) == 2 * 200 * 100 + 200 + 100
+    for key in (None, "h"):
+        mine = [r for r in rows if r.s == key]
+        assert len({(r.a, r.b) for r in mine}) == len(mine) == 200 * 100
+        by_task = pd.Series([r.task for r in mine]).value_counts()
+        assert len(by_task) == 8 and by_task.max() < len(mine) / 3
+
+
 @pytest.mark.parametrize("n_left,n_right", [(7, 3), (3, 3), (2, 5), (4, 0)])
 def test_merge_positional_wraps(spark, n_left, n_right):
     left = spark.createDataFrame([(i, i * 10) for i in range(n_left)], "id int, a int")
