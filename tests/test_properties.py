@@ -1,5 +1,7 @@
 """Property tests of the distributed operators against brute force on small fixtures."""
 
+import hashlib
+import math
 import random
 
 import numpy as np
@@ -177,6 +179,39 @@ def test_positional_merge_with_an_empty_right_side(spark):
     assert [tuple(r) for r in got] == [(1, "a", None), (2, "b", None)]
 
 
+def test_bootstrap_mean_matches_brute_force(spark):
+    """A null category, null measures, a category without a value, one row; in any layout."""
+    rows = [(i, None if i % 7 == 0 else f"c{i % 3}", None if i % 5 == 0 else float(i * i % 91)) for i in range(120)]
+    rows += [(900, "none", None), (901, "one", 5.0)]
+    df = spark.createDataFrame(rows, "id long, c string, v double")
+    out = {r.c: r for r in S.bootstrap_mean(df.repartition(5), "c", "v", "id", replicates=37).collect()}
+    assert set(out) == {"c0", "c1", "c2", None, "none", "one"}
+    pmf = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)])
+    for c, r in out.items():
+        mine = [(i, v) for i, d, v in rows if d == c and v is not None]
+        means = []
+        for rep in range(37):
+            block, j = divmod(rep, 8)
+            w = []
+            for i, _ in mine:
+                draw = int(hashlib.md5(f"42:{block}:{i}".encode()).hexdigest()[4 * j:4 * j + 4], 16)
+                w.append(sum(draw >= round(x * 65536) for x in pmf[:8]))
+            if sum(w):
+                means.append(sum(a * v for a, (_, v) in zip(w, mine)) / sum(w))
+        assert r.n == len(mine)
+        if mine:
+            assert np.allclose([r.ci_low, r.ci_high], np.quantile(means, [0.025, 0.975]))
+            assert np.isclose(r.mean, np.mean([v for _, v in mine]))
+        else:
+            assert (r.mean, r.ci_low, r.ci_high) == (None, None, None)
+
+
+def test_bootstrap_interval_is_near_the_normal_one(spark):
+    df = spark.range(4000).selectExpr("id", "'a' c", "cast(id % 100 as double) v")
+    got, normal = S.bootstrap_mean(df, "c", "v", "id").first(), S.mean_by(df, "c", "v").first()
+    assert abs(got.ci_low - normal.ci_low) < 0.15 and abs(got.ci_high - normal.ci_high) < 0.15
+
+
 def test_split_stable_under_repartition(spark):
     df = spark.range(2000).withColumnRenamed("id", "k")
     a = {r.k: r.split for r in M.train_test_split(df, "k").collect()}

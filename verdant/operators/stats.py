@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType, StringType, DecimalType
 
 from verdant.operators.windows import dense_index, top_per_group
+from verdant.session import partitions_for
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -207,6 +208,48 @@ def mean_by(df: DataFrame, dim: str, measure: str) -> DataFrame:
     return out.withColumn("ci_low", F.col("mean") - half).withColumn("ci_high", F.col("mean") + half)
 
 
+DRAWS = 8  # Poisson draws in one MD5, of four hex digits each
+
+
+def poisson_limits() -> list[str]:
+    """Hex limits of a 16-bit draw: below the k-th it is a Poisson(1) count of k."""
+    total, term, limits = 0.0, math.exp(-1.0), []
+    for k in range(1, 9):
+        total, term = total + term, term / k
+        limits.append(f"{round(total * 65536):04x}")
+    return limits
+
+
+def bootstrap_mean(df: DataFrame, dim: str, measure: str, key: str, replicates: int = 1000, level: float = 0.95,
+                   seed: int = 42) -> DataFrame:
+    """Mean per category and its percentile bootstrap interval (dim, mean, n, ci_low, ci_high).
+
+    Poisson bootstrap in one pass, ``replicates`` draws a row: in each replicate a row counts as often as a
+    Poisson(1) draw from the MD5 of (seed, block, row key) says, so the draws do not depend on the layout and the weighted sums are merged
+    map-side: a task ships (categories x replicates) sums at most, however many rows it reads. Null measures are
+    skipped; a replicate that draws no row of a category is left out for it; a category without a value has nulls.
+    """
+    blocks = -(-replicates // DRAWS)
+    rows = df.select(F.col(dim).alias("d"), F.col(measure).cast("double").alias("x"), F.col(key).cast("string").alias("k"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("k")))
+    # every row costs as many draws as there are replicates, so the narrow rows are dealt evenly before that
+    dealt = rows.repartition(partitions_for(df), "k")
+    hashed = (dealt.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+              .select("d", "x", "b", digest.alias("h")))
+    drawn = hashed.select("d", "x", "b", F.posexplode(F.array(*[F.substring("h", 1 + 4 * j, 4) for j in range(DRAWS)]))
+                          .alias("j", "draw")).where(F.col("b") * DRAWS + F.col("j") < replicates)
+    limits = poisson_limits()
+    weight = reduce(lambda w, at: w.when(F.col("draw") < at[1], float(at[0])), enumerate(limits), F).otherwise(float(len(limits)))
+    drawn = drawn.select("d", "b", "j", "x", weight.alias("w"))
+    drawn_rows = F.sum(F.when(F.col("x").isNotNull(), F.col("w")))
+    means = drawn.groupBy("d", "b", "j").agg(F.try_divide(F.sum(F.col("w") * F.col("x")), drawn_rows).alias("m"))
+    tail = (1 - level) / 2
+    ends = means.groupBy(F.col("d").alias("e")).agg(F.percentile("m", F.lit(tail)).alias("ci_low"),
+                                                    F.percentile("m", F.lit(1 - tail)).alias("ci_high"))
+    base = rows.groupBy("d").agg(F.avg("x").alias("mean"), F.count("x").alias("n"))
+    return base.join(ends, F.col("d").eqNullSafe(F.col("e")), "left").select(F.col("d").alias(dim), "mean", "n", "ci_low", "ci_high")
+
+
 def regression_metrics(df: DataFrame, y: str = "y_true", p: str = "y_pred", group=None) -> DataFrame:
     """MSE, RMSE, MAE, R^2 = 1 - SSE/SST in one aggregate."""
     e = F.col(y) - F.col(p)

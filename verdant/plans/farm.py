@@ -173,6 +173,38 @@ def q_mean_by_system(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.mean_by(env_table(spark, sf_dir), "farming_system", "overall_environmental_impact_score"))
 
 
+# The 16-bit limits of a Poisson(1) draw, e^-1 (1 + 1 + 1/2 + ...) of 65536.
+_POISSON = ["5e2d", "bc5b", "eb71", "fb24", "ff10", "ffd9", "fffb", "ffff"]
+
+
+def _bootstrap_sql(cte: str, dim: str, measure: str, key: str) -> str:
+    draw = "substr(h, 1 + 4 * j, 4)"
+    weight = "CASE " + " ".join(f"WHEN {draw} < '{x}' THEN {k}" for k, x in enumerate(_POISSON)) + f" ELSE {len(_POISSON)} END"
+    drawn = (f"SELECT {dim} AS d, {measure} AS x, b, md5('42:' || b || ':' || {key}) AS h FROM {cte}, range(125) AS t(b)"
+             f" WHERE {measure} IS NOT NULL")
+    weighed = f"SELECT d, x, b, j, {weight} AS w FROM ({drawn}) AS r, range(8) AS u(j)"
+    means = f"SELECT d, b, j, sum(w * x) / sum(w) AS m FROM ({weighed}) AS v GROUP BY d, b, j HAVING sum(w) > 0"
+    ends = f"SELECT d, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM ({means}) AS q GROUP BY d"
+    base = f"SELECT {dim}, avg({measure}) AS mean, count({measure}) AS n FROM {cte} GROUP BY {dim}"
+    return farm_sql(f"SELECT {dim}, {rnd('mean')} AS mean, n, {rnd('lo')} AS ci_low, {rnd('hi')} AS ci_high"
+                    f" FROM ({base}) AS g LEFT JOIN ({ends}) AS e ON g.{dim} IS NOT DISTINCT FROM e.d")
+
+
+@query("bootstrap_by_method", _bootstrap_sql("carbon_m", "farming_method", "carbon_footprint_kg_co2e", "farm_id"))
+def q_bootstrap_by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(S.bootstrap_mean(carbon_table(spark, sf_dir), "farming_method", "carbon_footprint_kg_co2e", "farm_id"))
+
+
+@query("bootstrap_by_irrigation", _bootstrap_sql("water_m", "irrigation_method", "water_usage_cubic_meters", "water_id"))
+def q_bootstrap_by_irrigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(S.bootstrap_mean(water_table(spark, sf_dir), "irrigation_method", "water_usage_cubic_meters", "water_id"))
+
+
+@query("bootstrap_by_system", _bootstrap_sql("env_m", "farming_system", "overall_environmental_impact_score", "env_id"))
+def q_bootstrap_by_system(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(S.bootstrap_mean(env_table(spark, sf_dir), "farming_system", "overall_environmental_impact_score", "env_id"))
+
+
 # --- J1-J4, P10, A5: merges ---------------------------------------------------------------------
 
 CARBON_COLS = ["farm_id", "crop_type", "farming_method", "farm_size_hectares", "fertilizer_kg_per_hectare",
