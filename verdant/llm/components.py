@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     Alternating stars: the large star hangs each node's larger neighbours on its least neighbour,
     the small star its smaller ones; both are one aggregation and one join on the node, and the
     edge list never grows. A node with very many neighbours is the repeated side of a join against
-    one row per node, which adaptive execution splits. Every round is written to the shared folder.
+    a written table of one row per node, which adaptive execution splits. Every round is written to the shared folder.
     The rounds grow with the logarithm of the longest path. Edges with a null end are left out;
     a loop makes its node a component of its own.
     """
@@ -35,10 +35,10 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         # large star: u -> every neighbour; larger neighbours go to the least of u and its neighbours
         around = edges.where("u <> v")
         around = around.union(around.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
+        least = staged(around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
+        large = staged(around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
         # small star: each node's smaller neighbours and the node itself go to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = staged(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(least, "u")
         small = (small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(least.select("u", F.col("m").alias("v")))).distinct()

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from verdant.llm.common import SHINGLE_WORDS, SIMILARITY_PERCENT, carried, fit_to_broadcast, staged, whole_text
 from verdant.llm.components import connected_components
@@ -145,6 +146,12 @@ def _promising(percent: int):
             & (rest * (100 + percent) >= (n + n2) * percent))
 
 
+def _length_band(percent: int):
+    """Sets of ``percent`` similarity lie in one band of sizes or in adjacent ones: a band's sizes grow by
+    100 / ``percent``, with a margin for the rounding of logarithms."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent) * (1 + 1e-9) + 1e-9)).cast("long")
+
+
 def _suffix_filter(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether the sets can still be similar by the sizes of their parts: hash space is cut into equal parts
     of about SUFFIX_LOAD shingles, and what two parts differ in size is missing from the overlap."""
@@ -230,7 +237,9 @@ def join_components(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataF
 
     Null counts as the empty text; a text without words has n_shingles 0 and is linked with nothing.
     Repeated rows get equal answers, and rows of one doc_id with different texts are one document whose
-    links are those of any of its texts. A null doc_id has a null component and links nothing. Other
+    links are those of any of its texts. What is known of a group (its hub, whether it lies in several components)
+    is aggregated, written and joined back, so a group's rows never meet in one task; pairs are formed only between
+    adjacent bands of sizes. A null doc_id has a null component and links nothing. Other
     columns are not looked at.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
@@ -240,17 +249,19 @@ def join_components(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataF
     # documents of one set: the least doc_id stands for all of them
     heads = staged(read.groupBy("doc_id").agg(F.max("d1").alias("d1"), F.max("d2").alias("d2"), F.max("n").alias("n_shingles"),
                                               F.count(F.lit(1)).alias("rows")), "sets")
-    sets = heads.where("n_shingles > 0").groupBy(F.col("d1").alias("s1"), F.col("d2").alias("s2")).agg(F.min("doc_id").alias("rep"))
+    sets = staged(heads.where("n_shingles > 0").groupBy(F.col("d1").alias("s1"), F.col("d2").alias("s2"))
+                  .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("docs")).where("docs > 1").drop("docs"), "set-heads")
     same = heads.where("n_shingles > 0").join(sets, (F.col("d1") == F.col("s1")) & (F.col("d2") == F.col("s2"))).where("rep < doc_id")
     copies = fit_to_broadcast(staged(same.select(F.col("doc_id").alias("copy"), "rep"), "copies"), BROADCAST_ROWS)
     reps = rows.join(copies.select("copy"), F.col("doc_id") == F.col("copy"), "left_anti")
 
     # groups of documents with one prefix shingle; a group's hub is the document where it stands foremost
-    group = Window.partitionBy("token").orderBy("pos", "n", "doc_id")
-    first = {name: F.first(col).over(group) for name, col in (("hub", "doc_id"), ("n2", "n"), ("pos2", "pos"))}
-    last = F.lead("doc_id").over(group).isNull()
-    members = prefixes(reps, order, percent).withColumns(first | {"last": last})
-    members = staged(members.where("doc_id <> hub or not last").drop("last"), "members")
+    rare = staged(prefixes(reps, order, percent), "prefixes")
+    foremost = F.min(F.struct("pos", "n", "doc_id"))
+    groups = rare.groupBy(F.col("token").alias("t")).agg(foremost.alias("first"), F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    groups = staged(groups.select("t", F.col("first.doc_id").alias("hub"), F.col("first.n").alias("n2"),
+                                  F.col("first.pos").alias("pos2")), "groups")
+    members = staged(rare.join(groups, F.col("token") == F.col("t")).drop("t"), "members")
     tokens = staged(members.groupBy(F.col("doc_id").alias("id")).agg(
         F.first("n").cast("long").alias("n"), F.collect_set("token").alias("ts")), "prefix-tokens")
 
@@ -260,14 +271,17 @@ def join_components(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataF
     labels = fit_to_broadcast(staged(connected_components(links), "labels"), BROADCAST_ROWS)
 
     # what is left: pairs of one group whose ends still lie in different components
-    side = (members.where("doc_id <> hub").join(labels, F.col("doc_id") == F.col("node"), "left")
-            .select("token", "doc_id", "pos", "n", F.coalesce("component", "doc_id").alias("c")))
-    whole = Window.partitionBy("token")
-    side = side.withColumns({"lo": F.min("c").over(whole), "hi": F.max("c").over(whole)}).where("lo <> hi").drop("lo", "hi")
+    side = staged(members.where("doc_id <> hub").join(labels, F.col("doc_id") == F.col("node"), "left")
+                  .select("token", "doc_id", "pos", "n", F.coalesce("component", "doc_id").alias("c")), "group-labels")
+    mixed = side.groupBy(F.col("token").alias("t")).agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    mixed = staged(mixed.where("lo <> hi").select("t"), "mixed-groups")
+    side = side.join(mixed, F.col("token") == F.col("t")).drop("t").withColumn("band", _length_band(percent))
     side = staged(side, "open-groups")
+    near = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1))
     other = side.select(F.col("token").alias("t2"), F.col("doc_id").alias("v"), F.col("pos").alias("pos2"),
-                        F.col("n").alias("n2"), F.col("c").alias("c2"))
-    met = (F.col("token") == F.col("t2")) & (F.col("doc_id") < F.col("v")) & (F.col("c") != F.col("c2")) & _promising(percent)
+                        F.col("n").alias("n2"), F.col("c").alias("c2"), near.alias("band2"))
+    met = ((F.col("token") == F.col("t2")) & (F.col("band") == F.col("band2")) & (F.col("doc_id") < F.col("v"))
+           & (F.col("c") != F.col("c2")) & _promising(percent))
     cross = side.join(other, met).select(F.col("doc_id").alias("u"), "v").distinct()
     done = to_hub.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
     cross = staged(cross.join(done, (F.col("u") == F.col("a")) & (F.col("v") == F.col("b")), "left_anti"), "open-pairs")
