@@ -19,3 +19,13 @@ def test_forecast_never_broadcasts_windows(spark, monkeypatch):
     assert T.forecast_sequence(windows, SENSOR_FIELDS).metrics.count() == 3
     plan = seen[0]._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan, plan
+
+
+def test_spread_deals_the_rows_of_one_row_group(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    spark.range(1000).coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    assert P.spread(df).rdd.getNumPartitions() == df.rdd.getNumPartitions()
+    monkeypatch.setattr(P, "SPREAD_BYTES", P.input_bytes(df) // 40)
+    sizes = P.spread(df).rdd.glom().map(len).collect()
+    assert len(sizes) >= 40 and sum(sizes) == 1000 and max(sizes) < 100

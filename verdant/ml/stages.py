@@ -252,3 +252,15 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
     The shuffle partitions do not count here: every pass of a fit runs one task per partition."""
     size = input_bytes(df) or 0
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // TARGET_PARTITION_BYTES)))
+
+
+SPREAD_BYTES = 4 * 1024 * 1024  # compressed bytes of a narrow table whose rows one task of a fit holds
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a table of more than ``SPREAD_BYTES`` evenly, so many bytes to a task at most.
+
+    How a file was written (one row group, say) may put all its rows in one task, which holds them unpacked in
+    every round of a fit. A smaller table stays as it is."""
+    size = input_bytes(df) or 0
+    return df if size <= SPREAD_BYTES else df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // SPREAD_BYTES)))

@@ -229,7 +229,7 @@ def q_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosting (reference size) stopped on a held-out fifth of the train rows without gain."""
     from pyspark.ml import Pipeline
-    df = M.train_test_split(FARM.regen_table(spark, sf_dir), "regen_id", 0.2, name="_v")
+    df = P.spread(M.train_test_split(FARM.regen_table(spark, sf_dir), "regen_id", 0.2, name="_v"))
     df = df.withColumn("is_val", F.col("_v") == "test")
     target = "economic_resilience_score"
     num = [c for c in C.features_by_exclusion(df, ["farm_type"], target) if c != "regen_id"]
