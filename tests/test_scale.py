@@ -1,10 +1,15 @@
 """Plans and splits that keep a task, or the driver, from holding what grows with the input."""
 
+import hashlib
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from verdant.functions.domain import SENSOR_FIELDS
 from verdant.ml import stages as P
 from verdant.ml import train as T
+from verdant.operators import stats as S
 from verdant.operators.windows import sliding_windows
 
 
@@ -29,3 +34,26 @@ def test_spread_deals_the_rows_of_one_row_group(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(P, "SPREAD_BYTES", P.input_bytes(df) // 40)
     sizes = P.spread(df).rdd.glom().map(len).collect()
     assert len(sizes) >= 40 and sum(sizes) == 1000 and max(sizes) < 100
+
+
+def test_bootstrap_sums_draws_in_the_task_that_makes_them(spark, monkeypatch):
+    rows = [(i if i % 9 else None, None if i % 7 == 3 else "ab"[i % 2], None if i % 5 == 0 else float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows + [(100, "empty", None)], "k long, d string, x double")
+    monkeypatch.setattr(S, "DRAWN_ROWS", 2)  # sums are given out and begun again
+    out = S.bootstrap_mean(df, "d", "x", "k", replicates=20)
+    assert "explode" not in out._jdf.queryExecution().optimizedPlan().toString()  # no row for each draw
+    got = {r.d: r for r in out.collect()}
+    assert set(got) == {"a", "b", None, "empty"} and got["empty"].ci_low is None and got["empty"].n == 0
+    limits = S.poisson_limits()
+    for d in ("a", "b", None):
+        means = []
+        for j in range(20):
+            total = n = 0
+            for k, e, x in rows:
+                if e == d and x is not None:
+                    key = f"42:{j // 8}" + ("" if k is None else f":{k}")
+                    draw = hashlib.md5(key.encode()).hexdigest()[4 * (j % 8):4 * (j % 8) + 4]
+                    w = sum(draw >= at for at in limits)
+                    total, n = total + w * x, n + w
+            means += [total / n] if n else []
+        assert [got[d].ci_low, got[d].ci_high] == pytest.approx(np.percentile(means, [2.5, 97.5]))

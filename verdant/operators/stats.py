@@ -7,10 +7,13 @@ no sort, and no value buffer in one task, unlike ``percentile``.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType, StringType, DecimalType
 
@@ -208,7 +211,8 @@ def mean_by(df: DataFrame, dim: str, measure: str) -> DataFrame:
     return out.withColumn("ci_low", F.col("mean") - half).withColumn("ci_high", F.col("mean") + half)
 
 
-DRAWS = 8  # Poisson draws in one MD5, of four hex digits each
+DRAWS = 8         # Poisson draws in one MD5, of four hex digits each
+DRAWN_ROWS = 512  # rows whose draws a task holds at once, and categories whose sums it holds
 
 
 def poisson_limits() -> list[str]:
@@ -231,23 +235,44 @@ def bootstrap_mean(df: DataFrame, dim: str, measure: str, key: str, replicates:
     """
     blocks = -(-replicates // DRAWS)
     rows = df.select(F.col(dim).alias("d"), F.col(measure).cast("double").alias("x"), F.col(key).cast("string").alias("k"))
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("k")))
+    limits = np.array([int(x, 16) for x in poisson_limits()])
+    counts = np.searchsorted(limits, np.arange(65536), side="right").astype(float)
+    starts = [f"{seed}:{b}".encode() for b in range(blocks)]
+
+    def draw(frames):
+        sums: dict = {}
+
+        def done():
+            for d, (drawn, total) in sums.items():
+                yield pd.DataFrame({"d": pd.Series([d] * replicates, dtype=object), "j": np.arange(replicates), "w": drawn, "wx": total})
+
+        for pdf in frames:
+            pdf = pdf[pdf["known"]]
+            for at in range(0, len(pdf), DRAWN_ROWS):
+                some = pdf.iloc[at:at + DRAWN_ROWS]
+                ends = [b"" if k is None else b":" + k.encode() for k in some["k"]]
+                digests = b"".join([hashlib.md5(start + end).digest() for end in ends for start in starts])
+                weights = counts[np.frombuffer(digests, ">u2").reshape(len(some), -1)[:, :replicates]]
+                x, (code, names) = some["x"].to_numpy(float), pd.factorize(some["d"], use_na_sentinel=False)
+                for i, d in enumerate(names):
+                    mine = code == i
+                    drawn, total = sums.setdefault(None if pd.isna(d) else d, np.zeros((2, replicates)))
+                    drawn += weights[mine].sum(axis=0)
+                    total += x[mine] @ weights[mine]
+                if len(sums) > DRAWN_ROWS:
+                    yield from done()
+                    sums.clear()
+        yield from done()
+
     # every row costs as many draws as there are replicates, so the narrow rows are dealt evenly before that
-    dealt = rows.repartition(partitions_for(df), "k")
-    hashed = (dealt.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-              .select("d", "x", "b", digest.alias("h")))
-    drawn = hashed.select("d", "x", "b", F.posexplode(F.array(*[F.substring("h", 1 + 4 * j, 4) for j in range(DRAWS)]))
-                          .alias("j", "draw")).where(F.col("b") * DRAWS + F.col("j") < replicates)
-    limits = poisson_limits()
-    weight = reduce(lambda w, at: w.when(F.col("draw") < at[1], float(at[0])), enumerate(limits), F).otherwise(float(len(limits)))
-    drawn = drawn.select("d", "b", "j", "x", weight.alias("w"))
-    drawn_rows = F.sum(F.when(F.col("x").isNotNull(), F.col("w")))
-    means = drawn.groupBy("d", "b", "j").agg(F.try_divide(F.sum(F.col("w") * F.col("x")), drawn_rows).alias("m"))
+    dealt = rows.select(F.col("d").cast("string").alias("d"), F.coalesce("x", F.lit(0.0)).alias("x"), F.col("x").isNotNull().alias("known"), "k").repartition(partitions_for(df), "k")
+    drawn = dealt.mapInPandas(draw, "d string, j int, w double, wx double")
+    means = drawn.groupBy("d", "j").agg(F.try_divide(F.sum("wx"), F.sum("w")).alias("m"))
     tail = (1 - level) / 2
     ends = means.groupBy(F.col("d").alias("e")).agg(F.percentile("m", F.lit(tail)).alias("ci_low"),
                                                     F.percentile("m", F.lit(1 - tail)).alias("ci_high"))
     base = rows.groupBy("d").agg(F.avg("x").alias("mean"), F.count("x").alias("n"))
-    return base.join(ends, F.col("d").eqNullSafe(F.col("e")), "left").select(F.col("d").alias(dim), "mean", "n", "ci_low", "ci_high")
+    return base.join(ends, F.col("d").cast("string").eqNullSafe(F.col("e")), "left").select(F.col("d").alias(dim), "mean", "n", "ci_low", "ci_high")
 
 
 def regression_metrics(df: DataFrame, y: str = "y_true", p: str = "y_pred", group=None) -> DataFrame:
