@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from verdant.functions.domain import SENSOR_FIELDS
 from verdant.ml import stages as P
 from verdant.ml import train as T
+from verdant.ml import trees as R
 from verdant.operators import stats as S
 from verdant.operators.windows import sliding_windows
 
@@ -57,3 +58,45 @@ def test_bootstrap_sums_draws_in_the_task_that_makes_them(spark, monkeypatch):
                     total, n = total + w * x, n + w
             means += [total / n] if n else []
         assert [got[d].ci_low, got[d].ci_high] == pytest.approx(np.percentile(means, [2.5, 97.5]))
+
+
+def test_only_the_smaller_of_two_children_is_added_up(monkeypatch):
+    rng = np.random.default_rng(3)
+    levels = [40, 2, 2, 3, 2, 1, 2]
+    x = np.column_stack([rng.integers(0, n, 2000) for n in levels]).astype(np.uint8)
+    layout = R.Layout([np.arange(n - 1) + 0.5 for n in levels])
+    g = R.on_grid(rng.normal(size=2000) + x[:, 0] / 10 - x[:, 1], 2.0 ** -30)
+    h, node = R.on_grid(rng.uniform(0.1, 1, 2000), 2.0 ** -30), rng.integers(0, 3, 2000)
+    assert sorted(map(len, layout.groups)) == [1, 6]  # flags share a code
+    hist = R.histograms(x, node, 3, g, h, layout)
+    for f, n in enumerate(levels):
+        for b in range(n):
+            for k in range(3):
+                m = (x[:, f] == b) & (node == k)
+                assert hist[:, k, layout.starts[f] + b].tolist() == [g[m].sum(), h[m].sum(), m.sum()]
+    added, whole = [], R.code_histograms
+    monkeypatch.setattr(R, "code_histograms", lambda codes, rows, *rest: added.append(len(rows)) or whole(codes, rows, *rest))
+    s, columns = R.TreeSettings(True, min_rows=2), np.ones(len(levels), bool)
+    tree = R.grow(x, g, h, s, layout, columns, 5)
+    assert len(added) == 5 and added[0] == 2000 and max(added[1:]) <= 1000
+    monkeypatch.setattr(R, "CACHE_CELLS", 1)  # a node at a time: every one is added up
+    each = R.grow(x, g, h, s, layout, columns, 5)
+    for name, _ in R.Tree.DTYPES:
+        assert sorted(getattr(tree, name)) == sorted(getattr(each, name))
+    assert tree.values(x).tolist() == each.values(x).tolist()
+    monkeypatch.setattr(R, "SHALLOW_NODES", 0)
+    assert tree.values(x).tolist() == each.values(x).tolist()
+
+
+def test_a_round_over_blocks_starts_from_the_margins_of_the_round_before(spark, monkeypatch):
+    from pyspark.ml.functions import array_to_vector
+    df = spark.range(300).select("id", array_to_vector(F.array((F.col("id") % 7).cast("double"), (F.col("id") % 5).cast("double"))).alias("features"),
+                                 (F.col("id") % 7 + F.col("id") % 3).cast("double").alias("y"))
+    t = R.bin_table(df, "y", F.col("id"), F.lit(-1), bins=8)
+    seen, grow = [], R._Grower.grow_levels
+    monkeypatch.setattr(R._Grower, "grow_levels", lambda self, blocks, *rest: seen.append(blocks) or grow(self, blocks, *rest))
+    monkeypatch.setattr(R, "LOCAL_ROWS", 10)
+    monkeypatch.setattr(R, "STAGE_ROUNDS", 3)
+    R.train(t, [R.Fit(R.TreeSettings(True, trees=5, depth=2))])
+    assert ["margin" in b.columns for b in seen] == [False, True, True, True, True]
+    assert not any(b.storageLevel.useMemory for b in seen)  # none is left in the cache
