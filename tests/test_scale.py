@@ -12,6 +12,7 @@ from verdant.ml import train as T
 from verdant.ml import trees as R
 from verdant.operators import stats as S
 from verdant.operators.windows import sliding_windows
+from verdant.streaming import sensor as ST
 
 
 def test_forecast_never_broadcasts_windows(spark, monkeypatch):
@@ -100,3 +101,22 @@ def test_a_round_over_blocks_starts_from_the_margins_of_the_round_before(spark,
     R.train(t, [R.Fit(R.TreeSettings(True, trees=5, depth=2))])
     assert ["margin" in b.columns for b in seen] == [False, True, True, True, True]
     assert not any(b.storageLevel.useMemory for b in seen)  # none is left in the cache
+
+
+def test_stream_keeps_runs_of_readings_not_windows(spark, tmp_path):
+    """One station of many runs, some of a few readings, late readings, and one with fewer than a window needs."""
+    rows = spark.range(900).select(
+        F.col("id").alias("event_id"), F.when(F.col("id") % 10 < 8, 1).when(F.col("id") % 100 == 9, 3).otherwise(2).cast("bigint").alias("station_id"),
+        F.timestamp_seconds("id").alias("event_time"),
+        *[((F.col("id") * (7 + i)) % 11).cast("double").alias(c) for i, c in enumerate(SENSOR_FIELDS)])
+    base, n = str(tmp_path), 12
+    parts = ST.write_message_files(rows, f"{base}/parts", 3)
+    good, _ = ST.sensor_stream(ST.file_source(spark, f"{base}/feed"))
+    for _ in ST.arrivals(spark, parts, f"{base}/feed"):
+        out = ST.run_windows(good, base, n)
+    want = sliding_windows(rows, ["event_id", *SENSOR_FIELDS], ["event_time", "event_id"], "station_id", n, include_current=True).drop("_pos")
+    assert out.columns == want.columns
+    by = lambda df: sorted(df.collect(), key=lambda r: r.event_id)
+    assert by(out) == by(want) and out.count() > 700
+    stored = spark.read.parquet(f"{base}/out").agg(F.sum(F.size("run")).alias("n"), F.max(F.size("run")).alias("longest")).first()
+    assert stored.n < 1.6 * 900 and stored.longest <= 5 * n  # the windows hold more than 8,000 readings
