@@ -11,7 +11,7 @@ from verdant.ml import stages as P
 from verdant.ml import train as T
 from verdant.ml import trees as R
 from verdant.operators import stats as S
-from verdant.operators.windows import sliding_windows
+from verdant.operators.windows import sliding_windows, stored_windows
 from verdant.streaming import sensor as ST
 
 
@@ -120,3 +120,39 @@ def test_stream_keeps_runs_of_readings_not_windows(spark, tmp_path):
     assert by(out) == by(want) and out.count() > 700
     stored = spark.read.parquet(f"{base}/out").agg(F.sum(F.size("run")).alias("n"), F.max(F.size("run")).alias("longest")).first()
     assert stored.n < 1.6 * 900 and stored.longest <= 5 * n  # the windows hold more than 8,000 readings
+
+
+def readings_of(spark, n=400):
+    """Rows with a repeated time, a null station and stations of unlike size."""
+    station = F.when(F.col("id") % 29 == 0, None).otherwise(F.when(F.col("id") < n // 2, 1).otherwise(F.col("id") % 7))
+    return spark.range(n).select(
+        F.col("id").alias("event_id"), station.cast("long").alias("station_id"), F.timestamp_seconds(F.floor(F.col("id") / 2)).alias("event_time"),
+        *[((F.col("id") * (7 + i)) % 11).cast("double").alias(c) for i, c in enumerate(SENSOR_FIELDS)],
+        ((F.col("id") * 5) % 13).cast("double").alias("yield"))
+
+
+@pytest.mark.parametrize("current", [False, True])
+def test_stored_windows_are_the_sliding_windows(spark, tmp_path, current):
+    df, how = readings_of(spark), (["event_id", *SENSOR_FIELDS], ["event_time", "event_id"], "station_id", 5, current)
+    want = sliding_windows(df, *how)
+    got = stored_windows(df, *how, path=str(tmp_path / "t"))
+    assert got.select(*want.columns).schema.simpleString() == want.schema.simpleString()
+    order = lambda t: sorted(map(repr, t.select(*want.columns).collect()))
+    assert order(got) == order(want) and want.count() > 300
+    sizes = want.groupBy("station_id").agg(F.min("_pos").alias("a"), F.max("_pos").alias("b")).collect()
+    ends = got.select("station_id", F.col("_first").alias("a"), F.col("_last").alias("b")).distinct().collect()
+    assert sorted(map(repr, ends)) == sorted(map(repr, sizes))
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_forecast_of_stored_windows_moves_no_window(spark, monkeypatch, twice):
+    df, how = readings_of(spark), (["event_id", *SENSOR_FIELDS], ["event_time", "event_id"], "station_id", 5)
+    if twice:  # a reading that came twice
+        df = df.unionByName(df.where("event_id % 50 = 3"))
+    want = {r.metric: r.value for r in T.forecast_sequence(sliding_windows(df, *how), SENSOR_FIELDS).metrics.collect()}
+    scored, score = [], T.forecast_predict
+    monkeypatch.setattr(T, "forecast_predict", lambda w, res: scored.append(w) or score(w, res))
+    monkeypatch.setattr(P, "ensure_parallelism", lambda df: pytest.fail("windows were moved"))
+    got = {r.metric: r.value for r in T.forecast_sequence(stored_windows(df, *how), SENSOR_FIELDS).metrics.collect()}
+    assert got == pytest.approx(want)
+    assert twice or "Join" not in scored[0]._jdf.queryExecution().optimizedPlan().toString()
